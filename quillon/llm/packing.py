@@ -11,12 +11,14 @@ no rows; other columns are ignored. Piece bounds depend on how the input is spli
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,45 +29,67 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 STEP_TOKENS = 65536
 
 
-class ChunkEncoder:
-    """Token ids of texts by way of a bounded cache of blank-separated chunks.
+class WordEncoder:
+    """Token ids of texts by way of a bounded cache of words.
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are those of its chunks in turn. Texts
-    with separators on which Python and the tokenizer disagree (U+001C to U+001F) are encoded whole.
+    The tokenizer lowers case, cuts a text into words by a pattern and then works on each word alone, so the ids of a text are those
+    of its words in turn. The pattern (a fixed value of the tokenizer) is applied here to texts of Latin letters and common
+    signs, for which lowering and normal form are the same in both; other texts, and those with special tokens, go to the
+    tokenizer whole.
     """
 
-    ODD = "\x1c\x1d\x1e\x1f"
+    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    OTHER = re.compile(r"[^\t\n\r -~\xa0-\u024f\u2010-\u2027]|<\|")
 
-    def __init__(self, path: str, max_entries: int = 400_000, max_chunk: int = 64):
+    def __init__(self, path: str, max_entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.max_entries, self.max_chunk = max_entries, max_chunk
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.max_entries = max_entries
+        self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words that aren't cached in one text: every word's last token, and no other, ends a word."""
+        if len(self.cache) + len(words) > self.max_entries:
+            self.cache.clear()
+        ids = self._ids([" ".join(words)])[0]
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) == len(words):
+            raw, at = ids.tobytes(), [0, *(last * 4).tolist()]
+            self.cache.update(zip(words, map(raw.__getitem__, map(slice, at, at[1:])), strict=False))
+        else:
+            self.cache.update(zip(words, (x.tobytes() for x in self._ids(words)), strict=True))
 
     def encode(self, texts: list[str], end: int) -> Iterator[np.ndarray]:
-        tail = (end,)
+        tail = np.array([end], dtype=np.uint32).tobytes()
         for text in texts:
-            if any(c in text for c in self.ODD):
-                yield np.array([*self._ids([text])[0], end], dtype=np.uint32)
+            if self.OTHER.search(text):
+                yield np.append(self._ids([text])[0], np.uint32(end))
                 continue
-            chunks = text.split()
-            cache = self.cache
-            missing = list({c for c in chunks if c not in cache})
-            if missing:
-                if len(cache) + len(missing) > self.max_entries:
-                    cache.clear()
-                    missing = list(set(chunks))
-                cache.update(zip(missing, map(tuple, self._ids(missing)), strict=True))
-            yield np.fromiter(chain(chain.from_iterable(map(cache.__getitem__, chunks)), tail), dtype=np.uint32)
-            for c in missing:
-                if len(c) > self.max_chunk:
-                    del cache[c]
+            words = self.PATTERN.findall(text.lower())
+            try:
+                raw = b"".join(map(self.cache.__getitem__, words))
+            except KeyError:
+                cache = self.cache
+                self._learn([w for w in set(words) if w not in cache])
+                if missing := [w for w in set(words) if w not in cache]:  # the cache was emptied
+                    self._learn(missing)
+                raw = b"".join(map(cache.__getitem__, words))
+            yield np.frombuffer(raw + tail, dtype=np.uint32)
+
+
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for each Python worker, so that tasks share its cache."""
+    return WordEncoder(path)
 
 
 class TierPacker:
@@ -136,7 +160,7 @@ def _packer(path: str, end: int, tiers: tuple[int, ...], step_tokens: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         base = TaskContext.get().partitionId() << 40
-        encoder, packer = ChunkEncoder(path), TierPacker(tiers)
+        encoder, packer = encoder_for(path), TierPacker(tiers)
         kept: dict[int, tuple[object, np.ndarray]] = {}
         counters = {"doc": 0, "seq": 0, "group": 0}
 
