@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, passages, pii, quality, topk, toxicity
+from . import chat, lines, mixing, packing, passages, pii, quality, topk, toxicity
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chat(turns.unionByName(extra)))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op2_pii, op3_pack, op5_toxicity, op6_quality, op7_chat, op9_passages, op10_search)
+    found = (op1_mix, op2_pii, op3_pack, op5_toxicity, op6_quality, op7_chat, op8_lines, op9_passages, op10_search)
     return {f.__name__: f for f in found}
 
 
