@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, packing, passages, pii, quality, topk, toxicity
+from . import chat, lines, mixing, neardup, packing, passages, pii, quality, topk, toxicity
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op2_pii, op3_pack, op5_toxicity, op6_quality, op7_chat, op8_lines, op9_passages, op10_search)
+    found = (op1_mix, op2_pii, op3_pack, op4_neardup, op5_toxicity, op6_quality, op7_chat, op8_lines, op9_passages, op10_search)
     return {f.__name__: f for f in found}
 
 
