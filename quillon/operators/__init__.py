@@ -1,0 +1 @@
+"""Operators of the rail and timetable engine."""

@@ -1,0 +1 @@
+"""Plans of the rail and timetable engine."""

@@ -1,0 +1 @@
+"""Sources of the rail and timetable engine."""

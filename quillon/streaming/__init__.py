@@ -1,0 +1 @@
+"""Streaming of the rail and timetable engine."""
