@@ -227,6 +227,7 @@ def _judged(rows: DataFrame, label: str) -> DataFrame:
     """
     kind, zero = F.col("info").bitwiseAND(3), F.col("info").bitwiseAND(3) == 0
     core, same = Window.partitionBy("core"), Window.partitionBy("core", "outer")
+    rows = rows.repartition("core")  # serves both windows
     seen = rows.withColumn("turn", F.row_number().over(same.orderBy("doc_id", "h", "tag")))
     seen = seen.withColumn("n_both", F.sum(F.when(zero, F.shiftright("info", 4).bitwiseAND(3)).otherwise(0)).over(same))
     seen = seen.withColumns({
@@ -239,58 +240,69 @@ def _judged(rows: DataFrame, label: str) -> DataFrame:
     return materialize(kept.select("doc_id", "h", "tag", whole.alias("whole"), open_.alias("open")), label)
 
 
-def _with_tags(texts: DataFrame, tags: DataFrame, n: int, how: str) -> DataFrame:
-    """Texts with the tags of their runs. Few tags (by count) are broadcast, many are shuffled."""
-    lists = tags.groupBy("doc_id", "h").agg(F.collect_list("tag").alias("tags")).withColumnsRenamed({"doc_id": "t_doc", "h": "t_h"})
-    lists = F.broadcast(lists) if n * 24 <= BROADCAST_BYTES else lists.hint("merge")
+def _with_lists(texts: DataFrame, lists: DataFrame, n_bytes: int, how: str) -> DataFrame:
+    """Texts with the lists (doc_id, h, tags) of their runs. Few (by measured size) are broadcast, many are shuffled."""
+    lists = lists.withColumnsRenamed({"doc_id": "t_doc", "h": "t_h"})
+    lists = F.broadcast(lists) if n_bytes <= BROADCAST_BYTES else lists.hint("merge")
     return texts.join(lists, F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("h") == F.col("t_h")), how).select("doc_id", "h", "text", "tags")
 
 
-def _cut(length: int):
+def _listed(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("doc_id", "h").agg(F.collect_list("tag").alias("tags"))
+
+
+def _united(length: int):
+    """Runs of a text to its maximal removed stretches: start, end, start, ..."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            lists = batch.column(3)
-            for row, data in enumerate(batch.column(2)):
-                raw = data.as_buffer()
-                size, digest = raw.size, hashlib.sha256()
-                view = memoryview(raw)
-                removed = spans = at = 0
-                if lists[row].is_valid:
-                    low, high, _ = untag(np.sort(np.asarray(lists[row].values)))
-                    reach = np.maximum.accumulate(high + length)
-                    new = np.flatnonzero(np.concatenate(([True], low[1:] > reach[:-1])))
-                    stop = np.append(new[1:], len(low)) - 1
-                    for a, b in zip(low[new].tolist(), reach[stop].tolist(), strict=True):
-                        digest.update(view[at:a])
-                        removed, spans, at = removed + b - a, spans + 1, b
-                digest.update(view[at:])
-                for o, v in zip(out, (size, removed, spans, digest.hexdigest()), strict=True):
-                    o.append(v)
-            kinds = [pa.int64()] * 3 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out = []
+            for tags in batch.column(2):
+                low, high, _ = untag(np.sort(np.asarray(tags.values)))
+                reach = np.maximum.accumulate(high + length)
+                new = np.flatnonzero(np.concatenate(([True], low[1:] > reach[:-1])))
+                out.append(np.stack((low[new], reach[np.append(new[1:], len(low)) - 1]), axis=1).reshape(-1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "h", "tags"])
 
     return run
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, reach: int = REACH, piece: int = PIECE) -> tuple[DataFrame, DataFrame, int]:
-    """(texts with their row key, runs of repeated strings, their number)."""
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[list] = [[] for _ in range(4)]
+        lists = batch.column(3).to_pylist()
+        for data, bounds in zip(batch.column(2), lists, strict=True):
+            raw = data.as_buffer()
+            view, digest, at = memoryview(raw), hashlib.sha256(), 0
+            bounds = bounds or []
+            for a, b in zip(bounds[::2], bounds[1::2], strict=True):
+                digest.update(view[at:a])
+                at = b
+            digest.update(view[at:])
+            for o, v in zip(out, (raw.size, sum(bounds[1::2]) - sum(bounds[::2]), len(bounds) // 2, digest.hexdigest()), strict=True):
+                o.append(v)
+        kinds = [pa.int64()] * 3 + [pa.string()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def repeated_stretches(docs: DataFrame, length: int = LENGTH, reach: int = REACH, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """(texts with their row key, doc_id, h, tags: bounds of the stretches to remove)."""
     if not GRAM + reach - 1 <= length or reach > 512:
         raise ValueError("the trigger window must lie within a string, and be 512 at most")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).select("doc_id", F.crc32("text").alias("h"), "text")
     whole, found, label = None, texts.mapInArrow(_parse(length, reach, piece), ROWS), "phrases"
     for step in (BLOCK, 1, 0):
         judged = _judged(found, label)
-        part = judged.where("whole")
+        part = judged.where("whole").select("doc_id", "h", "tag")
         whole = part if whole is None else whole.unionByName(part)
         if step:
             open_ = judged.where("open")
-            found, label = _with_tags(texts, open_, open_.count(), "inner").mapInArrow(_refine(length, step, piece), ROWS), f"strings{step}"
-    whole = whole.select("doc_id", "h", "tag")
-    return texts, whole, whole.count()
+            found, label = _with_lists(texts, _listed(open_), open_.count() * 24, "inner").mapInArrow(_refine(length, step, piece), ROWS), f"strings{step}"
+    return texts, materialize(_listed(whole).mapInArrow(_united(length), "doc_id long, h long, tags array<long>"), "stretches")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, reach: int = REACH, piece: int = PIECE) -> DataFrame:
     """For each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    texts, whole, n = repeated_runs(docs, length, reach, piece)
-    return _with_tags(texts, whole.distinct(), n, "left").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    texts, stretches = repeated_stretches(docs, length, reach, piece)
+    size = stretches.agg(F.sum(F.size("tags") * 8 + 32)).first()[0] or 0
+    return _with_lists(texts, stretches, size, "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
