@@ -13,10 +13,10 @@ MERCATOR_M = 6_378_137.0
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle metres."""
+    """Great-circle metres; NULL if a coordinate is."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return 2 * F.lit(EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * F.lit(EARTH_M) * F.asin(F.sqrt(F.when(a > 1, F.lit(1.0)).otherwise(a)))
 
 
 def flat_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column, km_per_degree: float = 111.32) -> Column:
@@ -53,7 +53,8 @@ def between(a: Column, b: Column, share: Column) -> Column:
 def segment_share(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Where on a segment (0..1) the nearest point to p lies; 0 for a segment without length."""
     length = F.pow(bx - ax, 2) + F.pow(by - ay, 2)
-    return F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / length)))
+    share = ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / F.when(length > 0, length)
+    return F.when(length == 0, F.lit(0.0)).when(share < 0, F.lit(0.0)).when(share > 1, F.lit(1.0)).otherwise(share)
 
 
 def turn(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column) -> Column:

@@ -27,7 +27,7 @@ def format_time(seconds: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """A date from yyyymmdd; NULL if there is no such day."""
-    return F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, F.lit("yyyyMMdd"))) if hasattr(F, "try_to_date") else F.when(text.rlike(r"^\d{8}$"), F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd"))))
+    return F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")).cast("date"))
 
 
 def canonical(text: Column) -> Column:

@@ -89,6 +89,6 @@ points AS (
 def metres_sql(a: str, b: str) -> str:
     """Great-circle metres between a.lon, a.lat and b.lon, b.lat."""
     return (
-        f"(2e0 * 6371000e0 * asin(sqrt(least(1e0, pow(sin(radians({b}.lat - {a}.lat) / 2), 2)"
-        f" + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2)))))"
+        f"(2e0 * 6371000e0 * asin(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2)"
+        f" + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
     )
