@@ -211,3 +211,30 @@ def simplified(points: list[tuple[float, float]], metres: float) -> list[int]:
             keep.add(at)
             todo += [(a, at), (at, b)]
     return sorted(keep)
+
+
+#: Fixed values of the shifted grid: axis in metres and squared eccentricity.
+SHIFT_AXIS, SHIFT_E2 = 6_378_245.0, 0.00669342162296594323
+
+
+def shifted(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """WGS-84 to the shifted grid (GCJ-02)."""
+    x, y, pi = lon - 105.0, lat - 35.0, F.lit(math.pi)
+    ripple = (20.0 * F.sin(6.0 * x * pi) + 20.0 * F.sin(2.0 * x * pi)) * 2.0 / 3.0
+    dlat = -100.0 + 2.0 * x + 3.0 * y + 0.2 * y * y + 0.1 * x * y + 0.2 * F.sqrt(F.abs(x)) + ripple
+    dlat = dlat + (20.0 * F.sin(y * pi) + 40.0 * F.sin(y / 3.0 * pi)) * 2.0 / 3.0 + (160.0 * F.sin(y / 12.0 * pi) + 320.0 * F.sin(y * pi / 30.0)) * 2.0 / 3.0
+    dlon = 300.0 + x + 2.0 * y + 0.1 * x * x + 0.1 * x * y + 0.1 * F.sqrt(F.abs(x)) + ripple
+    dlon = dlon + (20.0 * F.sin(x * pi) + 40.0 * F.sin(x / 3.0 * pi)) * 2.0 / 3.0 + (150.0 * F.sin(x / 12.0 * pi) + 300.0 * F.sin(x / 30.0 * pi)) * 2.0 / 3.0
+    rad = F.radians(lat)
+    magic = 1 - SHIFT_E2 * F.pow(F.sin(rad), 2)
+    root = F.sqrt(magic)
+    return lon + dlon * 180.0 / (SHIFT_AXIS / root * F.cos(rad) * pi), lat + dlat * 180.0 / (SHIFT_AXIS * (1 - SHIFT_E2) / (magic * root) * pi)
+
+
+def unshifted(lon: Column, lat: Column, rounds: int = 3) -> tuple[Column, Column]:
+    """The inverse, by a few fixed-point steps."""
+    x, y = lon, lat
+    for _ in range(rounds):
+        sx, sy = shifted(x, y)
+        x, y = x - (sx - lon), y - (sy - lat)
+    return x, y

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import geo, scalars
-from quillon.operators import aggregates, graph, joins, lines, quality, search, timetable
+from quillon.operators import aggregates, graph, joins, lines, network, quality, search, timetable
 from quillon.sources import readers, tiles, writers
 from quillon.streaming import windows
 
@@ -172,4 +172,30 @@ def test_sources(spark, tmp_path):
     assert [p.lon for p in readers.wanted_nodes(ways, nodes).first()["path"]] == [0.0, 1.0]
     (tmp_path / "r.tsv").write_text("a\tb\n1\t\n")
     assert tuple(readers.rule_table(spark, str(tmp_path / "r.tsv"), ["a", "b"]).first()) == ("1", None)
-    assert math.isclose(1.0, 1.0)
+
+
+def test_network(spark):
+    x, y = geo.shifted(F.lit(116.404), F.lit(39.915))
+    bx, by = geo.unshifted(x, y)
+    got = spark.range(1).select(x.alias("x"), y.alias("y"), bx.alias("bx"), by.alias("by")).first()
+    assert got.x == pytest.approx(116.41024449916938, abs=1e-6) and got.y == pytest.approx(39.91640428150164, abs=1e-6)
+    assert math.isclose(got.bx, 116.404, abs_tol=1e-7) and math.isclose(got.by, 39.915, abs_tol=1e-7)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5)], "u long, v long")
+    values = spark.createDataFrame([(1, 7), (3, 7), (5, 8)], "node long, value long")
+    assert {(r.node, r.value) for r in network.propagated(edges, values).collect()} == {(1, 7), (3, 7), (5, 8), (2, 7)}
+    path = [(0.0, 0.0), (0.01, 0.005), (0.02, 0.0)]
+    nodes = [(0.0, 0.0), (0.01, 0.0), (0.02, 0.0)]
+    assert network.fitted(path, nodes, [(0, 1), (1, 2)]) == [(0.0, 0.0), (0.0, 0.0), (0.01, 0.0), (0.02, 0.0), (0.02, 0.0)]
+    assert network.fitted(path, nodes, [(0, 1)]) is None
+    assert network.shortest_chain({1: [(2, 5.0)]}, 1, 2, 4.0) is None
+    seats = network.ordered_lines([["a", "b"], ["b", "a"], ["a", "b"]])
+    assert seats[0] == seats[1] == seats[2]
+    points = spark.createDataFrame([(1, 0.0, 0.0001), (2, 0.0, 1.0)], "id long, lon double, lat double")
+    segments = spark.createDataFrame([(9, -1.0, 0.0, 1.0, 0.0)], "seg long, a_lon double, a_lat double, b_lon double, b_lat double")
+    (r,) = network.snapped(points, segments, 5000.0, 0.0).collect()
+    assert (r.id, r.seg, r.share) == (1, 9, 0.5) and r.metres == pytest.approx(11.132)
+    line = lines.cumulative(spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 1.0, 0.0)], "line long, seq long, lon double, lat double"))
+    cut = network.clipped_path(line, spark.createDataFrame([(1, 10_000.0, 20_000.0)], "line long, low double, high double")).collect()
+    assert sorted(r.along for r in cut) == [10_000.0, 20_000.0]
+    with pytest.raises(Exception, match="conflicting"):
+        network.corrected(values, spark.createDataFrame([(1, 1), (1, 2)], "node long, value long"), "node", "value").collect()
