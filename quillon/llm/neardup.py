@@ -109,38 +109,58 @@ def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
+class _Node:
+    """The classes met so far under one trie node: its pivots, and which of these are linked with each other."""
+
+    def __init__(self, cid: int, sketch: np.ndarray):
+        self.ids, self.root, self.pivots, self.n = [cid], [0], sketch[None, :].repeat(4, axis=0), 1
+
+    def add(self, cid: int, sketch: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Links that join the class to the pivots near it, and these to each other: a spanning forest, so one for each class."""
+        near = _similar(self.pivots[: self.n], sketch)
+        roots = sorted({self.root[p] for p in np.flatnonzero(near >= LINK).tolist()})
+        if roots:
+            to = self.ids[roots[0]]
+            yield from ((min(to, x), max(to, x)) for x in [cid, *(self.ids[r] for r in roots[1:])] if x != to)
+            if len(roots) > 1:
+                self.root = [roots[0] if r in roots else r for r in self.root]
+        if near.max() < CORE:
+            if self.n == len(self.pivots):
+                self.pivots = np.concatenate((self.pivots, np.empty_like(self.pivots)))
+            self.pivots[self.n] = sketch
+            self.ids.append(cid)
+            self.root.append(roots[0] if roots else self.n)
+            self.n += 1
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of the classes under each trie node to the node's pivots. Rows come sorted by node."""
-    last, pivots, ids = None, np.zeros((0, TREES * MAX_DEPTH), dtype=np.uint8), []
+    """Links (a, b) that connect the near classes under each trie node. Rows come sorted by node; a link is sent once a task."""
+    last, state = None, None
+    sent: set[tuple[int, int]] = set()
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        node = np.asarray(batch.column(0))
-        cid = np.asarray(batch.column(1))
+        node, cid = np.asarray(batch.column(0)), np.asarray(batch.column(1))
         sketch = np.frombuffer(batch.column(2).buffers()[2], dtype=np.uint8)
         first = np.frombuffer(batch.column(2).buffers()[1], dtype=np.int32)[batch.column(2).offset]
         sketch = sketch[first : first + n * TREES * MAX_DEPTH].reshape(n, -1)
         starts = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         ends = np.append(starts[1:], n)
-        a_out, b_out = [], []
+        out: list[tuple[int, int]] = []
         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
             if node[s] != last:
                 if e - s == 1 and e < n:
                     continue  # alone under its node
-                last, pivots, ids = node[s], sketch[s : s + 1], [cid[s]]
+                last, state = node[s], _Node(int(cid[s]), sketch[s])
                 s += 1
             for i in range(s, e):
-                near = _similar(pivots, sketch[i])
-                for p in np.flatnonzero(near >= LINK).tolist():
-                    if ids[p] != cid[i]:
-                        a_out.append(min(ids[p], cid[i]))
-                        b_out.append(max(ids[p], cid[i]))
-                if near.max() < CORE:
-                    pivots = np.concatenate((pivots, sketch[i : i + 1]))
-                    ids.append(cid[i])
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a_out)), pa.array(np.array(b_out))], names=["a", "b"])
+                out += [x for x in state.add(int(cid[i]), sketch[i]) if x not in sent]
+        if out:
+            out = list(dict.fromkeys(out))
+            if len(sent) < 1_000_000:
+                sent.update(out)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
