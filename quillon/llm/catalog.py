@@ -93,7 +93,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR word_chars < 2 * n_words OR word_chars > 40 * n_words
             OR (n_dup_lines >= 3 AND n_dup_lines * 2 > n_lines)) AS kept
 FROM f
-""".replace("\\\\", "\\")
+"""
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS no FROM d),
+t AS (SELECT doc_id, no, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS ws FROM l),
+c AS (
+    SELECT row_number() OVER (ORDER BY doc_id, no) AS id, doc_id, no, ws, len(ws) AS n
+    FROM (SELECT * FROM t WHERE len(ws) > 0 QUALIFY row_number() OVER (PARTITION BY ws ORDER BY doc_id, no) = 1)
+),
+p AS (SELECT id, n, unnest(ws) AS tok FROM c),
+f AS (SELECT tok, count(*) AS df FROM p GROUP BY tok),
+r AS (SELECT p.id, n, p.tok, row_number() OVER (PARTITION BY p.id ORDER BY df, p.tok) AS pos FROM p JOIN f USING (tok)),
+pre AS (SELECT * FROM r WHERE pos <= n - (4 * n + 4) // 5 + 1),
+pairs AS (
+    SELECT DISTINCT a.id AS x, b.id AS y FROM pre a JOIN pre b
+    ON a.tok = b.tok AND a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+),
+gone AS (
+    SELECT DISTINCT y FROM pairs JOIN c cx ON cx.id = x JOIN c cy ON cy.id = y
+    WHERE 9 * len(list_intersect(cx.ws, cy.ws)) >= 4 * (cx.n + cy.n)
+),
+kept AS (SELECT doc_id, no FROM c WHERE id NOT IN (SELECT y FROM gone)),
+marked AS (
+    SELECT t.doc_id, t.no, t.line, len(t.ws) > 0 AS worded, k.no IS NOT NULL AS stays
+    FROM t LEFT JOIN kept k ON t.doc_id = k.doc_id AND t.no = k.no
+)
+SELECT doc_id, CAST(sum(CASE WHEN worded THEN 1 ELSE 0 END) AS BIGINT) AS n_lines,
+       CAST(sum(CASE WHEN worded AND NOT stays THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stays OR NOT worded), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
 
 OP10_SQL = """
 WITH v AS (
@@ -111,4 +142,4 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": OP6_SQL, "op10_search": OP10_SQL}
+    return {"op6_quality": OP6_SQL, "op8_lines": OP8_SQL, "op10_search": OP10_SQL}
