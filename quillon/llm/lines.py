@@ -6,11 +6,12 @@ give every token one sortable number, so no shuffle is needed to order a line's
 
 1. lines with equal token sets become one class, led by its earliest line; all others go;
 2. a line of n tokens posts the rarest n - ceil(NUM * n / DEN) + 1 of them (prefix filter); similar lines share one of these;
-3. on the shuffled postings, each is paired with the earliest line of its token: one row for each posting, however long a list is;
-   length and positional filters drop most pairs, the rest are verified on the full token sets;
-4. only lists of three lines or more are joined, for the lines that step 3 left, with the same filters and verification.
+3. on the shuffled postings, each looks through the list of its token, if that has at most SHORT lines, else at the earliest line only;
+   length and positional filters and a bound from 128-bit parity maps of the sets leave few candidates;
+4. each line is verified on the full token sets with the earliest of its candidates first, and goes if they match;
+5. the lines left are verified with their other candidates, and with those from a join of the longer lists.
 
-Hence near copies of one line, which all match its earliest form, never meet each other pair by pair.
+Hence near copies of one line, which all match its earliest form, don't meet each other pair by pair.
 
 Defined results: a null text stays null and has no lines; lines without a word stay; an empty table gives no rows; rows that repeat
 (equal id and text) get equal results, and of rows that share an id the text's checksum decides the order; other columns
@@ -19,6 +20,10 @@ pass through ``dedupe`` untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,24 +31,32 @@ from .common import BROADCAST_BYTES, materialize
 from .quality import bound, trimmed, words_of
 
 NUM, DEN = 4, 5
-RANKS = 1 << 16
-_TAIL = 47  # bits of a token's hash below its rank
+SHORT = 64
+RANKS = 1 << 20
+_TAIL = 56  # bits of a token's hash below its rank
 
 
 def word_ranks(docs: DataFrame) -> Column:
-    """An array literal: for each hash bucket, its place by the number of words of the corpus that fall into it, fewest first."""
+    """One small array of the query: for each hash bucket, a level (0 to 127) that grows with the words of the corpus in it.
+
+    It comes as a scalar subquery, so that plans hold a reference to it. RANKS bounds it, whatever the vocabulary.
+    """
     words = docs.select(F.explode(words_of(F.col("d_text"))).alias("w")).where(F.col("w") != "")
     found = words.groupBy(F.xxhash64("w").bitwiseAND(RANKS - 1).alias("b")).count().toArrow()
-    counts = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
-    rank = [0] * RANKS
-    for place, b in enumerate(sorted(range(RANKS), key=lambda b: (counts.get(b, 0), b))):
-        rank[b] = place
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
+    counts = np.zeros(RANKS)
+    counts[np.asarray(found.column(0))] = np.asarray(found.column(1))
+    levels = np.minimum(127, np.floor(4 * np.log2(counts + 1))).astype(np.int8)
+    array = pa.ListArray.from_arrays(pa.array([0, RANKS], pa.int32()), pa.array(levels))
+    return docs.sparkSession.createDataFrame(pa.table({"levels": array})).scalar()
 
 
 def tokens_of(line: Column, ranks: Column) -> Column:
     """The distinct tokens of a line as numbers, rarest first."""
-    key = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(RANKS - 1).cast("int")).cast("long"), _TAIL).bitwiseOR(F.shiftrightunsigned(h, 64 - _TAIL))
+    return bound(ranks, lambda levels: _tokens(line, levels))
+
+
+def _tokens(line: Column, levels: Column) -> Column:
+    key = lambda h: F.shiftleft(F.get(levels, h.bitwiseAND(RANKS - 1).cast("int")).cast("long"), _TAIL).bitwiseOR(F.shiftrightunsigned(h, 64 - _TAIL))
     hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
     return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
@@ -64,27 +77,43 @@ def _identified(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def classes(docs: DataFrame, ranks: Column) -> DataFrame:
-    """The first line of each token set: doc, line (key), n, prefix."""
+    """The first line of each token set: doc, line (key), n, bits and more (parity of its tokens by seven bits of their hashes), prefix."""
     split = docs.select("d_doc", "d_hash", F.posexplode(F.split("d_text", "\n", -1)).alias("number", "text"))
     kept = split.where(F.char_length(trimmed(F.col("text"))) > 0)
-    rows = kept.select(F.struct(F.col("d_doc").alias("doc"), _line_key(F.col("d_hash"), F.col("number")).alias("line")).alias("id"), tokens_of(F.col("text"), ranks).alias("tokens"))
-    rows = rows.select("id", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(7), "tokens").alias("h2"), F.slice("tokens", F.lit(1), F.when(F.size("tokens") > 3, prefix_length(F.size("tokens"))).otherwise(0)).alias("prefix"))
-    firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return firsts.select("id.doc", "id.line", "n", "prefix")
-
-
-def _may_match(n1: Column, pos1: Column, n2: Column, pos2: Column) -> Column:
-    """Length and positional filters for a token at these places (from 0) of two sorted token sets."""
+    kept = kept.withColumn("levels", ranks)  # the next projection takes it in: rows never hold it
+    rows = kept.select(F.struct(F.col("d_doc").alias("doc"), _line_key(F.col("d_hash"), F.col("number")).alias("line")).alias("id"), tokens_of(F.col("text"), F.col("levels")).alias("tokens"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda x: F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))
+    parity = lambda half: F.aggregate("tokens", none, lambda acc, x: F.when(x.bitwiseAND(64) == 64 * half, acc.bitwiseXOR(bit(x))).otherwise(acc))
+    rows = rows.select("id", F.size("tokens").alias("n"), parity(0).alias("bits"), parity(1).alias("more"), F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(7), "tokens").alias("h2"), F.slice("tokens", F.lit(1), F.when(F.size("tokens") > 3, prefix_length(F.size("tokens"))).otherwise(0)).alias("prefix"))
+    firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("prefix").alias("prefix"))
+    return firsts.select("id.doc", "id.line", "n", "bits", "more", "prefix")
+
+
+def _may_match(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether line a comes before line b and no filter parts them: length, places of the common token, parity maps.
+
+    Sets that differ in d tokens have maps that differ in d bits at most, and similar sets of n1 and n2 tokens in (n1 + n2) / 9.
+    """
+    n1, n2 = a("n"), b("n")
     need = F.ceil((n1 + n2) * F.lit(NUM) / F.lit(NUM + DEN))
-    return (n1 * DEN >= n2 * NUM) & (n2 * DEN >= n1 * NUM) & (F.least(n1 - pos1, n2 - pos2) >= need)
+    earlier = a("doc").eqNullSafe(b("doc")) & (a("line") < b("line")) | F.coalesce(a("doc") < b("doc"), F.lit(False)) | (a("doc").isNull() & b("doc").isNotNull())
+    apart = F.bit_count(a("bits").bitwiseXOR(b("bits"))) + F.bit_count(a("more").bitwiseXOR(b("more")))
+    return earlier & (n1 * DEN >= n2 * NUM) & (n2 * DEN >= n1 * NUM) & (F.least(n1 - a("pos"), n2 - b("pos")) >= need) & (apart * (DEN + NUM) <= (n1 + n2) * (DEN - NUM))
 
 
-def postings(firsts: DataFrame) -> DataFrame:
-    """Postings of tokens that two lines or more post: token, doc, line, n, pos, listed (lines of the token), lead (its first line)."""
-    rows = firsts.where(F.size("prefix") > 0).select("doc", "line", "n", F.posexplode("prefix").alias("pos", "token"))
-    same = Window.partitionBy("token")
-    lead = F.min(F.struct("doc", "line", "n", "pos")).over(same)
-    return rows.withColumns({"listed": F.count(F.lit(1)).over(same), "lead": lead}).where("listed > 1")
+def candidates(firsts: DataFrame) -> DataFrame:
+    """Postings with a candidate, or on a long list: doc, line, n, pos, bits, found (earlier lines: doc, line), token (long lists only)."""
+    rows = firsts.where(F.size("prefix") > 0).select("doc", "line", "n", "bits", "more", F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.withColumn("token", F.col("token").bitwiseAND(0x7FFFFFFF).cast("int"))  # half of the hash: others that meet are told apart later
+    same, one = Window.partitionBy("token"), F.struct("doc", "line", "n", "bits", "more", "pos")
+    rows = rows.withColumns({"listed": F.count(F.lit(1)).over(same), "lead": F.min(one).over(same)}).where("listed > 1")
+    rows = rows.withColumn("list", F.collect_list(F.when(F.col("listed") <= SHORT, one)).over(same))
+    few = F.when(F.col("listed") <= SHORT, F.col("list")).otherwise(F.array("lead"))
+    found = F.filter(few, lambda x: _may_match(x.getField, F.col))
+    long = F.col("listed") > SHORT
+    rows = rows.select("doc", "line", "n", "pos", "bits", "more", F.transform(found, lambda x: F.struct(x["doc"].alias("doc"), x["line"].alias("line"))).alias("found"), F.when(long, F.col("token")).alias("token"))
+    return rows.where((F.size("found") > 0) | F.col("token").isNotNull())
 
 
 def _tokens_for(docs: DataFrame, wanted: DataFrame, ranks: Column) -> DataFrame:
@@ -93,8 +122,9 @@ def _tokens_for(docs: DataFrame, wanted: DataFrame, ranks: Column) -> DataFrame:
     by_doc = by_doc.groupBy(F.col("doc").alias("w_doc"), "w_hash").agg(F.collect_list(F.struct("line", "number")).alias("w_lines"))
     by_doc = F.broadcast(by_doc) if wanted.count() * 24 <= BROADCAST_BYTES else by_doc.hint("merge")
     joined = docs.join(by_doc, F.col("d_doc").eqNullSafe(F.col("w_doc")) & (F.col("d_hash") == F.col("w_hash")))
-    found = bound(F.split("d_text", "\n", -1), lambda lines: F.transform("w_lines", lambda x: F.struct(x["line"].alias("line"), tokens_of(F.get(lines, x["number"]), ranks).alias("tokens"))))
-    out = joined.select("d_doc", F.explode(found).alias("x")).select(F.col("d_doc").alias("doc"), "x.line", "x.tokens")
+    both = lambda lines, levels: F.transform("w_lines", lambda x: F.struct(x["line"].alias("line"), _tokens(F.get(lines, x["number"]), levels).alias("tokens")))
+    found = bound(F.split("d_text", "\n", -1), lambda lines: bound(F.col("levels"), lambda levels: both(lines, levels)))
+    out = joined.withColumn("levels", ranks).select("d_doc", found.alias("found")).select("d_doc", F.explode("found").alias("x")).select(F.col("d_doc").alias("doc"), "x.line", "x.tokens")
     return out.dropDuplicates(["doc", "line"])
 
 
@@ -108,12 +138,6 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return joined.where(common * DEN >= (F.size("a_tokens") + F.size("tokens") - common) * NUM).select("doc", "line").distinct()
 
 
-def _earlier(a: str, b: str) -> Column:
-    """Whether line a comes before line b; null ids come first."""
-    ad, bd = F.col(f"{a}doc"), F.col(f"{b}doc")
-    return ad.eqNullSafe(bd) & (F.col(f"{a}line") < F.col(f"{b}line")) | (ad < bd) | (ad.isNull() & bd.isNotNull())
-
-
 def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """Join on (doc, line), where null ids are equal."""
     r = right.select(F.col("doc").alias("r_doc"), F.col("line").alias("r_line"))
@@ -123,21 +147,19 @@ def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 def survivors(docs: DataFrame, ranks: Column) -> DataFrame:
     """doc, line of the lines with words that stay."""
     firsts = materialize(classes(docs, ranks), "lines")
-    lists = materialize(postings(firsts), "postings")
-    led = lists.select(F.col("lead.doc").alias("a_doc"), F.col("lead.line").alias("a_line"), "doc", "line", F.col("lead.n").alias("a_n"), F.col("lead.pos").alias("a_pos"), "n", "pos")
-    first_pairs = led.where(_earlier("a_", "") & _may_match(F.col("a_n"), F.col("a_pos"), F.col("n"), F.col("pos"))).select("a_doc", "a_line", "doc", "line").distinct()
-    first_pairs = materialize(first_pairs, "pairs1")
-    tokens = materialize(_tokens_for(docs, _members(first_pairs), ranks), "tokens1")
-    gone = materialize(_verified(first_pairs, tokens), "gone1")
-
-    long = lists.where("listed > 2")
-    a = long.select(F.col("doc").alias("a_doc"), F.col("line").alias("a_line"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), "token", "lead")
-    a = a.where(~(F.col("a_doc").eqNullSafe(F.col("lead.doc")) & (F.col("a_line") == F.col("lead.line")))).drop("lead")
-    left = _same(long, gone, "left_anti").select("doc", "line", "n", "pos", "token")
-    second = left.join(a, "token").where(_earlier("a_", "") & _may_match(F.col("a_n"), F.col("a_pos"), F.col("n"), F.col("pos")))
-    second = materialize(second.select("a_doc", "a_line", "doc", "line").distinct(), "pairs2")
-    tokens2 = materialize(_tokens_for(docs, _members(second), ranks), "tokens2")
-    gone2 = _verified(second, tokens2)
+    posted = materialize(candidates(firsts), "candidates")
+    lists = posted.where(F.size("found") > 0).groupBy("doc", "line").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+    lists = materialize(lists, "lists")
+    pairs = lists.select(F.get("found", F.lit(0)).alias("a"), "doc", "line").select(F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line"), "doc", "line")
+    gone = materialize(_verified(pairs, materialize(_tokens_for(docs, _members(pairs), ranks), "tokens1")), "gone1")
+
+    others = _same(lists.where(F.size("found") > 1), gone, "left_anti").select(F.explode(F.slice("found", F.lit(2), F.size("found"))).alias("a"), "doc", "line")
+    others = others.select(F.col("a.doc").alias("a_doc"), F.col("a.line").alias("a_line"), "doc", "line")
+    long = posted.where("token IS NOT NULL").select("doc", "line", "n", "pos", "bits", "more", "token")
+    a = long.select("token", *[F.col(c).alias(f"a_{c}") for c in ("doc", "line", "n", "pos", "bits", "more")])
+    met = _same(long, gone, "left_anti").select(*long.columns).join(a, "token").where(_may_match(lambda c: F.col(f"a_{c}"), F.col))
+    second = materialize(others.unionByName(met.select("a_doc", "a_line", "doc", "line")).distinct(), "pairs2")
+    gone2 = _verified(second, materialize(_tokens_for(docs, _members(second), ranks), "tokens2"))
     return _same(firsts.select("doc", "line"), gone.unionByName(gone2), "left_anti")
 
 
