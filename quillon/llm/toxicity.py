@@ -1,6 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Unigrams, bigrams and one-word skip-grams of a text are hashed to buckets; each counts once. Training visits a bounded sample of
+Unigrams, bigrams and one-word skip-grams of a text are hashed to buckets, and so are the first four and five letters of its words, for
+inflected forms that training hasn't met; each counts once. Training visits a bounded sample of
 labelled rows on the driver with per-coordinate rates and L1 sparsity, so the weights left over are few and are broadcast as two
 short arrays. Scoring is a narrow pass over whole texts.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 BITS = 20
-SAMPLE = 12_000
+SAMPLE = 8_000
 _WORD = re.compile(r"[^\W_]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -40,13 +41,25 @@ class WordHash(dict):
         return h
 
 
-def buckets(text: str, hashes: WordHash, bits: int = BITS) -> np.ndarray:
-    """The distinct buckets of a text's unigrams, bigrams and skip-grams."""
+class StemHash(dict):
+    """A bounded cache of words: the hashes of the word and of its first four and five letters, as bytes."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = [xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(word[:4], seed=4), xxhash.xxh64_intdigest(word[:5], seed=5)]
+        out = self[word] = np.array(h, dtype=np.uint64).tobytes()
+        return out
+
+
+def buckets(text: str, hashes: StemHash, bits: int = BITS) -> np.ndarray:
+    """The distinct buckets of a text's unigrams, bigrams, skip-grams and word beginnings."""
     words = _WORD.findall(text.lower())
     if not words:
         return np.zeros(0, dtype=np.int64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    grams = np.concatenate((h * _A, (h[:-1] * _B) ^ (h[1:] * _A), (h[:-2] * _C) ^ (h[2:] * _A) ^ _B))
+    found = np.frombuffer(b"".join(map(hashes.__getitem__, words)), dtype=np.uint64).reshape(-1, 3)
+    h = found[:, 0]
+    grams = np.concatenate((h * _A, (h[:-1] * _B) ^ (h[1:] * _A), (h[:-2] * _C) ^ (h[2:] * _A) ^ _B, found[:, 1] * _A, found[:, 2] * _A))
     grams ^= grams >> np.uint64(29)
     return np.unique((grams * _A) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -65,7 +78,7 @@ def fit(examples: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float =
 
     l1 *= len(examples) ** 0.5
     rng = np.random.default_rng(seed)
-    with_bias = [(np.append(i, size), y) for i, y in examples]
+    with_bias = [(np.append(i, np.int32(size)), y) for i, y in examples]
     for _ in range(epochs):
         for at in rng.permutation(len(with_bias)):
             i, y = with_bias[at]
@@ -92,19 +105,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes = StemHash()
         for batch in batches:
             found = [buckets(t, hashes, bits).astype(np.int32) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f.tobytes() for f in found], pa.binary())], names=["doc_id", "toxic", "found"])
 
     got = rows.select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id long, toxic int, found binary").toArrow()
     data = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True))
-    return fit([(np.frombuffer(f, dtype=np.int32).astype(np.int64), y) for _, y, f in data], bits)
+    return fit([(np.frombuffer(f, dtype=np.int32), y) for _, y, f in data], bits)
 
 
 def _scorer(used: np.ndarray, values: np.ndarray, bias: float, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, weights = WordHash(), np.zeros(1 << bits)
+        hashes, weights = StemHash(), np.zeros(1 << bits)
         weights[used] = values
         for batch in batches:
             logits = np.array([bias + weights[buckets(t, hashes, bits)].sum() for t in batch.column(1).to_pylist()], dtype=np.float64)
