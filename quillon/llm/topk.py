@@ -63,14 +63,14 @@ def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndar
             yield own, scores
 
 
-def _histogram(ids, queries, low, width, k):
+def _histogram(ids, queries, low, high, width, k):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = len(ids)
         counts = np.zeros(q * BINS, dtype=np.int64)
         base = (np.arange(q) * BINS)[:, None]
         for _, scores in _scored(batches, ids, queries):
             bins = np.floor((scores - low[:, None]) / width[:, None])
-            inside = (bins >= 0) & (bins < BINS)
+            inside = (bins >= 0) & (bins < BINS) & (scores < high[:, None])
             counts += np.bincount((np.where(inside, bins, 0).astype(np.int64) + base)[inside], minlength=q * BINS)
         grid = counts.reshape(q, BINS)
         above = np.cumsum(grid[:, ::-1], axis=1)[:, ::-1] - grid
@@ -106,11 +106,12 @@ def _edges(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, norm: float, k
     spark = rows.sparkSession
     reach = np.floor(np.sqrt((queries**2).sum(axis=1)) * norm) + 1
     low, width = -reach, np.ceil((2 * reach + 1) / BINS)
+    high = low + BINS * width  # a pass counts scores in [low, high) only: those from high on are in `above`
     above = np.zeros(len(ids), dtype=np.int64)
     edge, open_ = low.copy(), np.ones(len(ids), dtype=bool)
     while open_.any():
         at = np.flatnonzero(open_)
-        shared = spark.sparkContext.broadcast((ids[at], queries[at], low[at], width[at]))
+        shared = spark.sparkContext.broadcast((ids[at], queries[at], low[at], high[at], width[at]))
         found = rows.mapInArrow(lambda b, s=shared: _histogram(*s.value, k)(b), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n")).toArrow()
         grid = np.zeros((len(at), BINS), dtype=np.int64)
         grid[np.asarray(found.column(0)), np.asarray(found.column(1))] = np.asarray(found.column(2))
@@ -122,7 +123,7 @@ def _edges(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, norm: float, k
         over = np.where(bin_ + 1 < BINS, total[np.arange(len(at)), np.minimum(bin_ + 1, BINS - 1)], above[at])
         stop = (here <= ENOUGH * k) | (width[at] <= 1) | ~enough.any(axis=1)
         edge[at[~enough.any(axis=1)]] = -np.inf  # fewer than k candidates: all of them
-        above[at], low[at], width[at] = over, edge[at], np.ceil(width[at] / BINS)
+        above[at], low[at], high[at], width[at] = over, edge[at], edge[at] + width[at], np.ceil(width[at] / BINS)
         low[at[~np.isfinite(low[at])]] = 0
         open_[at[stop]] = False
     return np.where(np.isfinite(edge), edge, -1e300)
