@@ -126,14 +126,14 @@ def smoothed(points: DataFrame, sigma: float) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        at = pdf["along"].to_numpy()
-        out = pdf[["line", "seq", "lon", "lat"]].copy()
+        at, lon, lat = (pdf[c].to_numpy() for c in ("along", "lon", "lat"))
+        new_lon, new_lat = lon.copy(), lat.copy()
         for i in range(1, len(at) - 1):
             lo, hi = np.searchsorted(at, (at[i] - 3 * sigma, at[i] + 3 * sigma))
             w = np.exp(-((at[lo:hi] - at[i]) ** 2) / (2 * sigma**2))
-            out.iloc[i, 2] = float((pdf["lon"].to_numpy()[lo:hi] * w).sum() / w.sum())
-            out.iloc[i, 3] = float((pdf["lat"].to_numpy()[lo:hi] * w).sum() / w.sum())
-        return out
+            new_lon[i] = (lon[lo:hi] * w).sum() / w.sum()
+            new_lat[i] = (lat[lo:hi] * w).sum() / w.sum()
+        return pdf[["line", "seq"]].assign(lon=new_lon, lat=new_lat)
 
     kinds = dict(points.dtypes)
     return points.groupBy("line").applyInPandas(run, f"line {kinds['line']}, seq {kinds['seq']}, lon double, lat double")

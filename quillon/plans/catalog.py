@@ -422,9 +422,7 @@ def walk_edges(t: Tables) -> DataFrame:
 
 @query()
 def contracted_edges(t: Tables) -> DataFrame:
-    order = Window.partitionBy("trip_id").orderBy("seq")
-    few = t.trip_stop().where(F.col("trip_id") % 50 == 7).withColumn("p", F.lag("stop_id").over(order)).where("p IS NOT NULL AND p <> stop_id")
-    edges = few.select(F.least("p", "stop_id").alias("u"), F.greatest("p", "stop_id").alias("v")).distinct().withColumn("metres", F.lit(1000).cast("long"))
+    edges = t.track().withColumn("metres", F.lit(1000).cast("long"))
     return graph.contract(edges)
 
 

@@ -139,7 +139,7 @@ def propagated_values(t: Tables) -> DataFrame:
 
 @query()
 def smoothed_paths(t: Tables) -> DataFrame:
-    return network.smoothed(lines.cumulative(_paths(t)).where("line % 20 = 3"), 50_000.0)
+    return network.smoothed(lines.cumulative(_paths(t)), 50_000.0)
 
 
 @query()
