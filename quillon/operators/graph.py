@@ -5,6 +5,8 @@ Iterations cut their lineage with a checkpoint in the shared folder of the sessi
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,12 +41,12 @@ def turnouts(edges: DataFrame) -> DataFrame:
     return degrees(edges).where("degree >= 3")
 
 
-def adopt(edges: DataFrame, labels: DataFrame, rounds: int = 4) -> DataFrame:
-    """node, label, round: unlabelled nodes take the label that most of their neighbours have (ties: the smaller), for some rounds."""
+def adopt(edges: DataFrame, labels: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, label, round: unlabelled nodes take the label that most of their neighbours have (ties: the smaller), until none is left to take one or for some rounds."""
     both = _cut(_both(edges))
     known = _cut(labels.select("node", "label", F.lit(0).alias("round")))
     best = Window.partitionBy("node").orderBy(F.desc("n"), "label")
-    for r in range(1, rounds + 1):
+    for r in itertools.count(1) if rounds is None else range(1, rounds + 1):
         votes = both.join(known.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node"), "label").agg(F.count(F.lit(1)).alias("n"))
         votes = votes.join(known.select("node"), "node", "left_anti")
         new = _cut(votes.withColumn("turn", F.row_number().over(best)).where("turn = 1").select("node", "label", F.lit(r).alias("round")))
@@ -63,12 +65,12 @@ def adopt_from_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return comps.join(one, "component").select("node", "label")
 
 
-def shortest(edges: DataFrame, sources: DataFrame, cost: str, most: int, rounds: int = 64) -> DataFrame:
-    """node, cost: least cost from any source node, up to ``most``. Only nodes that improved in the last round push on."""
+def shortest(edges: DataFrame, sources: DataFrame, cost: str, most: int, rounds: int | None = None) -> DataFrame:
+    """node, cost: least cost from any source node, up to ``most`` and, if given, in ``rounds`` hops. Only nodes that improved in the last round push on."""
     both = _cut(_both(edges, cost).groupBy("u", "v").agg(F.min(cost).alias("w")))
     best = _cut(sources.select("node", F.lit(0).cast("long").alias("cost")).distinct())
     front = best
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         step = front.join(both, F.col("node") == F.col("u")).select(F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).where(F.col("cost") <= most)
         step = step.groupBy("node").agg(F.min("cost").alias("new"))
         front = _cut(step.join(best, "node", "left").where("cost IS NULL OR new < cost").select("node", F.col("new").alias("cost")))

@@ -64,18 +64,17 @@ def transition_votes(rows: DataFrame, by: str, order: list[str], value: str) ->
     return pairs.groupBy(F.col(value).alias("before"), "after").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagated(edges: DataFrame, values: DataFrame, rounds: int = 32) -> DataFrame:
+def propagated(edges: DataFrame, values: DataFrame) -> DataFrame:
     """node, value: unvalued nodes take a value that two valued neighbours or more share, and no other, until nothing changes."""
     both = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     known = cut(values.select("node", "value"))
-    for _ in range(rounds):
+    while True:
         near = both.join(known.select(F.col("node").alias("v"), "value"), "v").join(known.select(F.col("node").alias("u")), "u", "left_anti")
         new = near.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value").alias("k"), F.min("value").alias("value"))
         new = cut(new.where("n >= 2 AND k = 1").select("node", "value"))
         if not new.limit(1).count():
-            break
+            return known
         known = cut(known.unionByName(new))
-    return known
 
 
 def near_segments(points: DataFrame, segments: DataFrame, metres: float, mid_lat: float) -> DataFrame:

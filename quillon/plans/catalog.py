@@ -404,13 +404,13 @@ SELECT node, label, CAST(0 AS INTEGER) AS round FROM l UNION ALL SELECT node, la
 def adopt_unlabelled(t: Tables) -> DataFrame:
     edges = _edges(t)
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().where(F.col("node") % 3 == 0)
-    return graph.adopt(edges, nodes.withColumn("label", F.concat(F.lit("L"), (F.col("node") % 7).cast("string"))), rounds=1)
+    return graph.adopt(edges, nodes.withColumn("label", F.concat(F.lit("L"), (F.col("node") % 7).cast("string"))))
 
 
 @query(f"WITH RECURSIVE {VIEWS}{_EDGES}, walk(node, cost, hops) AS (SELECT min(a), CAST(0 AS BIGINT), 0 FROM sym UNION SELECT s.b, w.cost + s.metres, w.hops + 1 FROM walk w JOIN sym s ON s.a = w.node WHERE w.hops < 6 AND w.cost + s.metres <= 90000) SELECT node, min(cost) AS cost FROM walk WHERE node IS NOT NULL GROUP BY node")
 def shortest_paths(t: Tables) -> DataFrame:
     edges = _edges(t)
-    return graph.shortest(edges, edges.agg(F.min(F.least("u", "v")).alias("node")).where("node IS NOT NULL"), "metres", 90_000, rounds=6)
+    return graph.shortest(edges, edges.agg(F.min(F.least("u", "v")).alias("node")).where("node IS NOT NULL"), "metres", 90_000)
 
 
 @query(f""", d AS (SELECT a.stop_id AS a, b.stop_id AS b, {metres_sql('a', 'b')} AS m FROM stop a JOIN stop b ON a.stop_id <> b.stop_id WHERE {metres_sql('a', 'b')} <= 20000),

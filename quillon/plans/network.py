@@ -127,7 +127,7 @@ def route_seconds(t: Tables) -> DataFrame:
     edges = _edges(t)
     costly = edges.withColumn("s", F.ceil(F.col("metres") * 36 / F.lit(1600.0)).cast("long") + F.when(F.col("u") % 5 == F.col("v") % 5, 0).otherwise(180))
     start = edges.agg(F.min(F.least("u", "v")).alias("node")).where("node IS NOT NULL")
-    return graph.shortest(costly, start, "s", 3600, rounds=5).withColumnRenamed("cost", "seconds")
+    return graph.shortest(costly, start, "s", 3600).withColumnRenamed("cost", "seconds")
 
 
 @query()

@@ -1,9 +1,11 @@
 """Network queries over whole small tables, against brute force in plain Python."""
 
+import heapq
 import math
 import random
 from collections import Counter, defaultdict
 
+from quillon.operators import network as operators
 from quillon.plans import catalog, network  # noqa: F401  network adds its queries to the catalogue
 
 LINEITEM = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate string"
@@ -60,3 +62,46 @@ def test_smoothed_paths(spark, tmp_path):
     got = {(r.line, r.seq): (r.lon, r.lat) for r in rows}
     assert len(rows) == len(got) and set(got) == set(want)
     assert all(math.dist(got[k], want[k]) < 1e-9 for k in want)
+
+
+def cheapest(costs, start, most):
+    best, todo = {}, [(0, start)]
+    while todo:
+        cost, node = heapq.heappop(todo)
+        if node in best or cost > most:
+            continue
+        best[node] = cost
+        for to, w in costs[node].items():
+            heapq.heappush(todo, (cost + w, to))
+    return best
+
+
+def test_ways_of_many_hops(spark, tmp_path):
+    saved(spark, tmp_path, {1: list(range(1, 8)), 2: list(range(7, 14)), 3: [13, 14, 15, 3], 4: [2, 99, 4]})
+    metres = {}
+    for u, v in [(u, u + 1) for u in range(1, 15)] + [(3, 15), (2, 99), (4, 99)]:
+        (a, b), (c, d) = ((100.0 + s % 97 * 0.05, 20.0 + s % 53 * 0.05) for s in (u, v))
+        h = math.sin(math.radians(d - b) / 2) ** 2 + math.cos(math.radians(b)) * math.cos(math.radians(d)) * math.sin(math.radians(c - a) / 2) ** 2
+        if (m := 2 * 6371000.0 * math.asin(math.sqrt(h))) < 45_000:
+            metres[u, v] = math.floor(m + 0.5)
+    by_metres, by_seconds = defaultdict(dict), defaultdict(dict)
+    for (u, v), m in metres.items():
+        by_metres[u][v] = by_metres[v][u] = m
+        by_seconds[u][v] = by_seconds[v][u] = math.ceil(m * 36 / 1600) + (0 if u % 5 == v % 5 else 180)
+    far, late = cheapest(by_metres, 1, 90_000), cheapest(by_seconds, 1, 3600)
+    assert len(far) > 8 and len(late) > 7  # more than the hops that were once allowed
+    assert {r.node: r.cost for r in catalog.queries()["shortest_paths"](spark, str(tmp_path)).collect()} == far
+    assert {r.node: r.seconds for r in catalog.queries()["route_seconds"](spark, str(tmp_path)).collect()} == late
+
+
+def test_propagated_to_the_end(spark):
+    """A ladder along which one node a round gets its value."""
+    edges = spark.createDataFrame([(i, i + k) for i in range(36) for k in (1, 2)], "u long, v long")
+    values = spark.createDataFrame([(0, 7), (1, 7)], "node long, value long")
+    assert {(r.node, r.value) for r in operators.propagated(edges, values).collect()} == {(i, 7) for i in range(37)}  # 37 has one neighbour
+
+
+def test_adoption_to_the_end(spark, tmp_path):
+    saved(spark, tmp_path, {1: [3, 1, 2, 4, 5, 7, 8]})
+    got = {r.node: (r.label, r.round) for r in catalog.queries()["adopt_unlabelled"](spark, str(tmp_path)).collect()}
+    assert got == {node: ("L3", k) for k, node in enumerate([3, 1, 2, 4, 5, 7, 8])}
