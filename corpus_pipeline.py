@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate join, mixing, packing, each over all that the stage before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents. The mixed order is the order of the files and of the rows in them.
+All but the last return the columns of documents. A scan reads files by size, not by name, so packing does not rely on their order:
+it works out the same mixed positions again and packs ranges of them, numbered by position.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(mixing.interleave(docs), tokenizer_path())
 
 
 STAGES = [
