@@ -269,7 +269,7 @@ def trained(sentences: int = 500, epochs: int = 8, seed: int = 11) -> tuple[tupl
 def windows(text: str, before: int = 48, after: int = 64) -> Iterator[tuple[int, int]]:
     """Stretches of text around digits, at-signs and spelled-out ones, merged where they meet, ending at blanks."""
     seeds = [m.span() for m in _SEED.finditer(text)]
-    if "at)" in text or "at]" in text or "AT)" in text or "AT]" in text:
+    if _SPELLED.search(text):
         seeds = sorted(seeds + [m.span() for m in _SPELLED.finditer(text)])
     start = end = -1
     for a, b in seeds:
@@ -299,7 +299,7 @@ def find(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
     extra = []
-    if _DIGIT.search(text) or "@" in text or "at)" in text or "at]" in text:
+    if _DIGIT.search(text) or "@" in text or _SPELLED.search(text):
         taken = sorted((a, b) for _, a, b in base)
         for kind, a, b in field_spans(text, w):
             if not any(x < b and a < y for x, y in taken):
