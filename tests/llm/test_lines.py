@@ -72,3 +72,28 @@ def test_lines_of_repeated_rows(spark):
         by_text.setdefault(r.doc_id, []).append(r.text)
     assert len(set(by_text[1])) == 2 and "\n".join(sorted(set(by_text[1]))).count("c d") == 1
     assert lines.report(docs.limit(0)).count() == 0 and lines.dedupe(docs.limit(0)).count() == 0
+
+
+def test_lines_with_common_words_and_long_lists(spark, monkeypatch):
+    """Every way through the join: pairs of common words, leads, lists dealt over tasks, lines with maps in two halves."""
+    monkeypatch.setattr(lines, "COMMON", 6)
+    monkeypatch.setattr(lines, "SHARE", 1)
+    monkeypatch.setattr(lines, "LED", 3)
+    monkeypatch.setattr(lines, "DEALT", 5)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    base = [f"b{i}" for i in range(20)] + words[:10]
+    rows = []
+    for i in range(90):
+        mine = list(base if i % 3 == 0 else rng.sample(words, rng.choice([4, 5, 6, 8, 30])))
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            mine[rng.randrange(len(mine))] = rng.choice(words)
+        far = [f"f{k}" for k in range(90)]
+        for _ in range(rng.choice([3, 12])):
+            far[rng.randrange(90)] = rng.choice(words)
+        rows.append((i, " ".join(mine) + "\n" + " ".join(rng.sample(words, 5)) + ("\n" + " ".join(far) if i % 9 == 0 else "")))
+    want = brute(rows)
+    got = {r.doc_id: r for r in lines.report(made(spark, rows)).collect()}
+    for i, (n, removed, text) in want.items():
+        assert (got[i].n_lines, got[i].n_removed, got[i].kept_sha256) == (n, removed, hashlib.sha256(text.encode()).hexdigest()), i
+    assert sum(x[1] for x in want.values()) > 20
