@@ -8,8 +8,8 @@ give every token one sortable number, so no shuffle is needed to order a line's
 2. a line of n tokens posts the rarest n - ceil(NUM * n / DEN) + 1 of them (prefix filter); similar lines share one of these. Where
    a token of the prefix is common (its bucket counts more than COMMON words), the line posts it with each later token of a prefix one
    longer instead: similar lines share two tokens of that, so lists stay short however large the corpus is;
-3. keys that look frequent on a share of the lines get a lead, the earliest line of their list, and every line is held against the
-   leads of its keys first: near copies of one line go here, without meeting each other pair by pair;
+3. keys that look frequent on a share of the lines get a lead, the earliest line there, and every line is held against the leads of its
+   keys first: near copies of one line go here, without meeting each other pair by pair;
 4. a self-join of the postings gives the other candidates of the lines left, under length and positional filters and a bound from parity
    maps of the sets; the longest lists are dealt over several tasks;
 5. candidates are verified on the full token sets.
@@ -27,7 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, materialize, maybe_broadcast
@@ -37,9 +37,9 @@ NUM, DEN = 4, 5
 RANKS = 1 << 20
 #: A token is common from this number of words in its bucket on.
 COMMON = 2048
-#: One of SHARE lines tells which keys are frequent; leads are for keys with LED lines or more (by that share), the most frequent
-#: LEADS of them; lists of DEALT lines or more are dealt over tasks.
-SHARE, LED, LEADS, DEALT = 8, 128, 1 << 18, 8192
+#: One of SHARE lines tells which keys are frequent, and leads them; leads are for keys with LED lines or more (by that share), the most
+#: frequent LEADS of them, and KEYS of those that one line leads; lists of DEALT lines or more are dealt over tasks.
+SHARE, LED, LEADS, KEYS, DEALT = 8, 128, 1 << 18, 3, 8192
 #: Lines of this many tokens and more have their parity map in two halves.
 WIDE = 72
 _TAIL = 56  # bits of a token's hash below its rank
@@ -49,15 +49,15 @@ def _level(count: np.ndarray | float) -> np.ndarray:
     return np.minimum(127, np.floor(4 * np.log2(np.asarray(count) + 1))).astype(np.int8)
 
 
-def _hashes(line: Column) -> Column:
-    """Hashes of the words of a line, and of the empty string between blanks."""
+def _words(line: Column) -> Column:
+    """The words of a line, and the empty strings between blanks."""
     odd = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r")
-    return F.transform(F.split(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " ", -1), lambda w: F.xxhash64(w))
+    return F.split(F.when(odd, F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line), " ", -1)
 
 
 def _sets(line: Column) -> Column:
     """Distinct hashes of the words of a line."""
-    return F.array_distinct(F.array_remove(_hashes(line), F.xxhash64(F.lit(""))))
+    return F.array_distinct(F.array_remove(F.transform(_words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def word_ranks(docs: DataFrame) -> Column:
@@ -65,8 +65,8 @@ def word_ranks(docs: DataFrame) -> Column:
 
     It comes as a scalar subquery, so that plans hold a reference to it. RANKS bounds it, whatever the vocabulary.
     """
-    words = docs.select(F.explode(F.split("d_text", "\n", -1)).alias("text")).select(F.explode(_hashes(F.col("text"))).alias("h"))
-    found = words.groupBy(F.col("h").bitwiseAND(RANKS - 1).cast("int").alias("b")).count().toArrow()
+    words = docs.select(F.explode(F.split("d_text", "\n", -1)).alias("text")).select(F.explode(_words(F.col("text"))).alias("w"))
+    found = words.groupBy(F.xxhash64("w").bitwiseAND(RANKS - 1).cast("int").alias("b")).count().toArrow()
     counts = np.zeros(RANKS)
     counts[np.asarray(found.column(0))] = np.asarray(found.column(1))
     array = pa.ListArray.from_arrays(pa.array([0, RANKS], pa.int32()), pa.array(_level(counts)))
@@ -216,10 +216,10 @@ def survivors(docs: DataFrame, repeats: bool, ranks: Column) -> DataFrame:
     firsts = materialize(classes(docs, ranks), "lines")
     posting = firsts.where("size(prefix) > 0")
     some = posting.where(F.pmod(F.xxhash64("doc", "line"), F.lit(SHARE)) == 0)
-    keys = postings(some).groupBy("key").count().where(F.col("count") >= max(1, LED // SHARE))
-    keys = materialize(keys.orderBy(F.desc("count"), "key").limit(LEADS), "frequent")
-    leads = postings(posting).join(F.broadcast(keys.select("key")), "key").groupBy("key").agg(F.min(F.struct(*_POSTED)).alias("lead"))
-    leads = materialize(leads.select("key", "lead.*"), "leads")
+    keys = postings(some).groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*_POSTED)).alias("lead")).where(F.col("count") >= max(1, LED // SHARE))
+    keys = materialize(keys.orderBy(F.desc("count"), "key").limit(LEADS).select("key", "count", "lead.*"), "leads")
+    one = Window.partitionBy("doc", "line").orderBy("key")  # a line that leads many lists of the same lines need lead only a few
+    leads = keys.withColumn("turn", F.row_number().over(one)).where(F.col("turn") <= KEYS).drop("turn")
     gone = _verified(docs, materialize(_led(leads, postings(posting)), "pairs1"), "gone1", repeats)
 
     sign = F.when(F.col("r_line").isNotNull(), -F.col("n")).otherwise(F.col("n")).alias("n")
@@ -238,12 +238,16 @@ def survivors(docs: DataFrame, repeats: bool, ranks: Column) -> DataFrame:
     return _same(_same(firsts.select("doc", "line"), gone, "left_anti"), gone2, "left_anti")
 
 
+def _worded(line: Column) -> Column:
+    return trimmed(line) != ""
+
+
 def _kept_lines(text: Column, numbers: Column) -> Column:
-    """The text of the lines without words and of those numbered, joined again."""
+    """The text of the lines without words and of those numbered, joined again; as it is where all stay."""
 
     def kept(lines: Column) -> Column:
-        blank = F.filter(F.transform(lines, lambda x, i: F.when(F.char_length(trimmed(x)) == 0, i)), lambda i: i.isNotNull())
-        return F.array_join(F.transform(F.sort_array(F.concat(numbers, blank)), lambda i: F.get(lines, i)), "\n")
+        stays = F.filter(lines, lambda x, i: F.array_contains(numbers, i) | ~_worded(x))
+        return F.array_join(stays, "\n")
 
     return F.when(text.isNotNull(), bound(F.split(text, "\n", -1), kept))
 
@@ -271,7 +275,8 @@ def dedupe(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, kept_sha256 (of the text that stays)."""
     rows = _with_kept(*_identified(docs)).withColumn("k_numbers", F.coalesce("k_numbers", F.array().cast("array<int>")))
-    rows = rows.withColumn("n_lines", F.coalesce(F.size(F.filter(F.split("d_text", "\n", -1), lambda x: F.char_length(trimmed(x)) > 0)), F.lit(0)))
-    rows = rows.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    text = F.coalesce(_kept_lines(F.col("d_text"), F.col("k_numbers")), F.lit(""))
-    return rows.select(F.col("d_doc").alias("doc_id"), F.col("n_lines").cast("long"), (F.col("n_lines") - F.size("k_numbers")).cast("long").alias("n_removed"), F.sha2(text, 256).alias("kept_sha256"))
+    # both figures come from one split of the text: the number of lines with words, and the text that stays
+    lines = F.split(F.coalesce("d_text", F.lit("")), "\n", -1)
+    counted = bound(lines, lambda x: F.struct(F.size(F.filter(x, _worded)).alias("n"), F.array_join(F.filter(x, lambda y, i: F.array_contains("k_numbers", i) | ~_worded(y)), "\n").alias("text")))
+    rows = rows.select("d_doc", "k_numbers", counted.alias("x"))
+    return rows.select(F.col("d_doc").alias("doc_id"), F.col("x.n").cast("long").alias("n_lines"), (F.col("x.n") - F.size("k_numbers")).cast("long").alias("n_removed"), F.sha2(F.col("x.text"), 256).alias("kept_sha256"))
