@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A side of at most this many estimated bytes may be broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 64 << 20
 
+#: Prefix of the folders that materialize writes, and their paths by the application that wrote them.
+_PREFIX = "quillon-"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -20,37 +22,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a folder of its own; on a cluster no folder of the driver would do, so that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass
+
+
 def _cleanup() -> None:
     for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            pass
+        _delete(spark, path)
     _written.clear()
 
 
 atexit.register(_cleanup)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and any executor can read it."""
+def _path_of(df: DataFrame) -> str:
+    """The folder that materialize wrote ``df`` to."""
+    return next(path for _, path in _written if df.inputFiles() and path.rsplit("/", 1)[1] in df.inputFiles()[0])
+
+
+def materialize(df: DataFrame, label: str, onto: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and any executor can read it.
+
+    With ``onto``, a table from here of the same columns, its rows are added to that.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    if onto is not None and onto.inputFiles():
+        path = _path_of(onto)
+    else:
+        path = f"{shared_dir(spark)}/{_PREFIX}{label}-{uuid.uuid4().hex}"
+        _written.append((spark, path))
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and that nothing will read again."""
+    for df in tables:
+        if df.inputFiles():
+            path = _path_of(df)
+            _delete(df.sparkSession, path)
+            _written[:] = [x for x in _written if x[1] != path]
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a materialised table is within the broadcast bound, by its real row count."""
     return df.count() * row_bytes <= limit

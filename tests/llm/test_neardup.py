@@ -95,4 +95,54 @@ def test_signature_estimates():
     b = np.unique(np.concatenate((a[:800], rng.integers(0, 2**63, 100).astype(np.uint64))))
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs((neardup.signature(a) == neardup.signature(b)).mean() - true) < 0.15
-    assert neardup.depth_for(0.8) == 4
+    assert neardup.least_depth(0.8) == 4
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached():
+    high, low = {(6, 97): 1000}, {(6, 80): 900, (5, 81): 60, (4, 80): 40}
+    assert neardup.depth_reached(high, 0.8, 4) == 6  # copies this near share the longest prefixes
+    assert neardup.depth_reached(low, 0.8, 4) == 4
+    assert neardup.depth_reached({(6, 80): 900, (6, 99): 3_000}, 0.8, 4) == 5
+    assert neardup.depth_reached({}, 0.8, 4) == 4 and neardup.depth_reached({(6, 60): 9}, 0.8, 4) == 4
+
+
+def test_trie_matches_the_longest_prefix_first():
+    rng = np.random.default_rng(2)
+    sketch = rng.integers(0, 256, neardup.TREES * neardup.MAX_DEPTH).astype(np.uint8)
+    trie, far = neardup._Trie(4), rng.integers(0, 256, len(sketch)).astype(np.uint8)
+    pack = lambda a, b: (a << 31) | b
+    rows = [(1, pack(5, 5), 10, sketch), (1, pack(5, 5), 11, sketch), (1, pack(5, 6), 12, sketch), (1, pack(7, 1), 13, sketch), (1, pack(7, 2), 14, far), (2, pack(5, 5), 15, sketch)]
+    links = [x for row in rows for x in trie.add(*row)] + list(trie.end())
+    assert sorted(x[:3] for x in links) == [(10, 11, 6), (10, 12, 5), (10, 13, 4)]
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """1,200 pairs of texts with a similarity from 0.8 to 0.85, all else unlike."""
+    rng = random.Random(6)
+    words, texts, pairs = [f"w{i}" for i in range(5000)], [], 0
+    while pairs < 1200:
+        base = [rng.choice(words) for _ in range(rng.choice([60, 110, 220]))]
+        copy = list(base)
+        for _ in range(len(base) // 46):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        a, b = shingle_set(" ".join(base)), shingle_set(" ".join(copy))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            texts += [" ".join(base), " ".join(copy)]
+            pairs += 1
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.join(made(spark, texts)).collect()}
+    found = sum(got[2 * i] == got[2 * i + 1] == (2 * i, 1) for i in range(pairs))
+    assert found >= 0.99 * pairs
+
+
+def test_crowds_are_thinned_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    texts = corpus(7)
+    want = brute(texts)
+    got = {r.doc_id: (r.copy_id, r.class_id, r.n_links) for r in neardup.join(made(spark, texts)).collect()}
+    assert sum(got[i] != w for i, w in enumerate(want)) <= 0.01 * len(texts)
+
+
+def test_keep_one_of_columns_with_clashing_names(spark):
+    docs = made(spark, ["a b c d e f g", "a b c d e f g", "x", None]).selectExpr("*", "1 AS n_id", "2 AS n_row", "3 AS n_doc", "4 AS cid", "5 AS class_id")
+    kept = neardup.keep_one(docs.union(docs))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
