@@ -5,6 +5,9 @@ the remainder of each document is routed to the smallest tier that holds it, and
 shortest. The gap of a window is filled with whole documents of shorter tiers (largest that fits first); only when none
 fits is the shortest waiting document cut. Windows of a tier are exactly full, so only the last window of a partition is padded.
 
+The windows of a tier wait until DEAL step groups of ``step_tokens`` tokens are full, and are then dealt to these by attention cost, to and
+fro. At the end of a partition what waits is dealt to as few groups as hold it, alike to within one window: only those hold fewer tokens.
+
 Defined results: a null or empty text is the end token alone; rows that repeat are packed once each; an empty table gives
 no rows; other columns are ignored. Piece bounds depend on how the input is split into partitions, the tokens do not.
 """
@@ -27,6 +30,7 @@ from .common import text_of
 TIERS = (256, 512, 1024, 2048)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, padded_length long, step_group long"
 STEP_TOKENS = 65536
+DEAL = 8
 
 
 class WordEncoder:
@@ -162,25 +166,38 @@ def _packer(path: str, end: int, tiers: tuple[int, ...], step_tokens: int):
         base = TaskContext.get().partitionId() << 40
         encoder, packer = encoder_for(path), TierPacker(tiers)
         kept: dict[int, tuple[object, np.ndarray]] = {}
-        counters = {"doc": 0, "seq": 0, "group": 0}
-
-        def rows(windows: list[tuple[int, list[tuple[int, int, int]]]]) -> pa.RecordBatch:
-            groups = balanced(windows, step_tokens)
-            first_group = counters["group"]
-            counters["group"] += int(groups.max()) + 1 if len(groups) else 0
-            out: list[list] = [[] for _ in range(10)]
-            for (tier, pieces), group in zip(windows, groups.tolist(), strict=True):
-                seq, offset = base | counters["seq"], 0
-                counters["seq"] += 1
-                total = sum(p[2] for p in pieces)
-                padded = total if total & (total - 1) == 0 else top
-                for doc, start, length in pieces:
-                    doc_id, ids = kept[doc]
-                    for o, v in zip(out, (doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), seq, offset, tier, padded, base | (first_group + group)), strict=True):
-                        o.append(v)
-                    offset += length
-            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+        counters = {"doc": 0, "seq": 0}
+        waiting: dict[int, list[tuple[int, list[tuple]]]] = {t: [] for t in tiers}
+        groups = 0
+
+        def described(tier: int, pieces: list[tuple[int, int, int]]) -> tuple[int, list[tuple]]:
+            """Attention cost and rows of a window; it takes the next sequence."""
+            seq, offset, out = base | counters["seq"], 0, []
+            counters["seq"] += 1
+            total = sum(p[2] for p in pieces)
+            padded = total if total & (total - 1) == 0 else top
+            for doc, start, length in pieces:
+                doc_id, ids = kept[doc]
+                out.append((doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), seq, offset, tier, padded))
+                offset += length
+            return sum(p[2] ** 2 for p in pieces), out
+
+        def dealt(last: bool) -> Iterator[pa.RecordBatch]:
+            """Rows of the windows whose step groups are settled."""
+            nonlocal groups
+            out: list[tuple] = []
+            for tier, own in waiting.items():
+                size = max(1, step_tokens // tier)
+                ready = len(own) if last else len(own) - len(own) % (DEAL * size)
+                for at in range(0, ready, DEAL * size):
+                    part = own[at : min(ready, at + DEAL * size)]
+                    group = balanced([cost for cost, _ in part], -(-len(part) // size))
+                    out += [(*row, base | (groups + g)) for (_, rows), g in zip(part, group, strict=True) for row in rows]
+                    groups += max(group) + 1
+                del own[:ready]
+            if out:
+                kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -195,32 +212,25 @@ def _packer(path: str, end: int, tiers: tuple[int, ...], step_tokens: int):
                     windows += [(top, [(doc, s, top)]) for s in range(0, full, top)]
                     if n > full:
                         packer.put(doc, full, n - full)
-                windows += packer.windows(False)
-                if windows:
-                    yield rows(windows)
-                waiting = {doc for stack in packer.by_length for doc, _ in stack}
-                kept = {doc: kept[doc] for doc in waiting}
-        windows = list(packer.windows(True))
-        if windows:
-            yield rows(windows)
+                for tier, pieces in [*windows, *packer.windows(False)]:
+                    waiting[tier].append(described(tier, pieces))
+                yield from dealt(False)
+                left = {doc for stack in packer.by_length for doc, _ in stack}
+                kept = {doc: kept[doc] for doc in left}
+        for tier, pieces in packer.windows(True):
+            waiting[tier].append(described(tier, pieces))
+        yield from dealt(True)
 
     return run
 
 
-def balanced(windows: list[tuple[int, list[tuple[int, int, int]]]], step_tokens: int) -> np.ndarray:
-    """A step group for each window: groups of one tier with as many tokens, windows dealt to and fro by attention cost."""
-    groups = np.zeros(len(windows), dtype=np.int64)
-    tiers = np.array([w[0] for w in windows], dtype=np.int64)
-    cost = np.array([sum(p[2] ** 2 for p in w[1]) for w in windows], dtype=np.int64)
-    first = 0
-    for tier in np.unique(tiers):
-        own = np.flatnonzero(tiers == tier)
-        own = own[np.argsort(-cost[own], kind="stable")]
-        n = -(-len(own) // max(1, step_tokens // int(tier)))
-        turn = np.arange(len(own)) % (2 * n)
-        groups[own] = first + np.where(turn < n, turn, 2 * n - 1 - turn)
-        first += n
-    return groups
+def balanced(costs: list[int], groups: int) -> list[int]:
+    """A group for each window: the dearest first, dealt to and fro, so that sizes differ by one at most and costs little."""
+    out = [0] * len(costs)
+    for turn, i in enumerate(sorted(range(len(costs)), key=lambda i: -costs[i])):
+        lap, place = divmod(turn, groups)
+        out[i] = groups - 1 - place if lap % 2 else place
+    return out
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import chat, packing, quality
 from quillon.llm.common import tokenizer_path
@@ -48,6 +49,31 @@ def test_pack(spark):
     assert packing.pack(made(spark, []), tokenizer_path()).count() == 0
 
 
+def test_step_groups_are_balanced(spark):
+    """In each partition and tier all groups but the last ones hold the step's tokens exactly, and their attention costs are near."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([30, 120, 300, 800]))) for _ in range(1500)]
+    rows = packing.pack(made(spark, texts).coalesce(1), tokenizer_path(), step_tokens=4096).collect()
+    tokens, cost, tier = {}, {}, {}
+    for r in rows:
+        tokens[r.step_group] = tokens.get(r.step_group, 0) + r.length
+        cost[r.step_group] = cost.get(r.step_group, 0) + r.length**2
+        assert tier.setdefault(r.step_group, r.tier) == r.tier
+    assert sorted(g & ((1 << 40) - 1) for g in tokens) == list(range(len(tokens)))
+    for t in packing.TIERS:
+        own = [g for g in tokens if tier[g] == t]
+        assert len(own) < 3 * packing.DEAL or sum(tokens[g] == 4096 for g in own) >= len(own) - packing.DEAL
+        by_deal = [own[i : i + packing.DEAL] for i in range(0, len(own) - packing.DEAL, packing.DEAL)]
+        assert all(max(cost[g] for g in deal) <= 1.5 * min(cost[g] for g in deal) for deal in by_deal)
+    assert packing.balanced([9, 1, 8, 2, 7, 3], 3) == [0, 0, 1, 1, 2, 2] and packing.balanced([], 0) == []
+
+
+def test_pack_of_repeated_rows(spark):
+    docs = made(spark, ["a b c", "d e"])
+    rows = packing.pack(docs.union(docs).coalesce(1), tokenizer_path()).collect()
+    assert sorted((r.doc_id, r.start) for r in rows) == [(0, 0), (0, 0), (1, 0), (1, 0)] and len({r.offset for r in rows}) == 4
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -100,3 +126,32 @@ def test_chat_round_trip(spark):
 @pytest.mark.parametrize("text", ["plain", "[INST]\\", "\\[", "</s></s>", "[[INST]"])
 def test_escape(text):
     assert chat.unescape(chat.escape(text)) == text
+
+
+def test_cascade_skips_the_rules_behind_one_that_rejects(spark):
+    """A rule that would fail the whole job on rejected rows is never evaluated for them."""
+    docs = made(spark, ["few", "one two three", "a text of ten words and some more of them here", None])
+    bad = F.col("q_text").rlike("^(few|one.*|)$")
+    first, second = quality.Rule("first", bad), quality.Rule("second", F.when(bad, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(F.lit(False)))
+    assert [r.doc_id for r in quality.keep_good(docs, [second, first], ["first", "second"]).collect()] == [2]
+    with pytest.raises(Exception, match="evaluated"):
+        quality.keep_good(docs, [second, first], ["second", "first"]).collect()
+
+
+def test_production_rules_stand_in_branches(spark):
+    """The plan computes the dear figures inside the CASE of the filter, not in a projection below it."""
+    docs = made(spark, TEXTS)
+    plan = quality.keep_good(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == plan[plan.index("Filter") : plan.index("Project", plan.index("Filter"))].count("xxhash64") > 0
+    names = quality.production(docs)[1]
+    assert sorted(names) == ["duplicate_lines", "repeated_windows", "symbols", "too_few_words", "word_length"]
+
+
+def test_quality_keeps_columns_of_clashing_names(spark):
+    docs = made(spark, ["a text of ten words and some more of them here"] * 2).selectExpr("*", "'mine' AS q_words", "5 AS row", "7 AS n_words", "1 AS q_barrier")
+    docs = docs.union(docs)
+    judged = quality.judge(docs).collect()
+    assert len(judged) == 4 and len(set(judged)) == 2
+    assert {(r.q_words, r.row, r.q_barrier, r.n_words) for r in judged} == {("mine", 5, 1, 11)}
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and kept.count() == 4 and {r.n_words for r in kept.collect()} == {7}
