@@ -3,10 +3,12 @@
 Every candidate is scored against every query of a wave (a bounded set of queries, broadcast). A pass counts scores in bins for
 each query; the bin that holds the k-th best becomes the next pass's range, until few enough scores stand at or above its lower
 edge or it is one score wide. The last pass keeps what reaches that edge, k rows for each query and task at most, and ties go to
-the smaller id. Scores are whole numbers below 2**53, so float64 products are exact; larger ones are refused.
+the smaller id. Scores are whole numbers: below 2**53 float64 products are exact, from there on they are taken in 64-bit integers (rounding
+to float64 keeps their order, so the histograms still hold). Scores of 2**63 and more don't fit the result's type and are refused.
+Each wave is written out before the next begins, so neither the plan nor the driver grows with the number of queries.
 
 Defined results: null vectors and those with null or non-finite components, and rows with a null id, take no part; shorter
-vectors count as filled up with zeros; repeated rows are candidates each; an empty table gives no rows; other columns are ignored.
+vectors count as filled up with zeros; repeated rows are candidates each, and rows that share a query's id are its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +38,11 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & F.coalesce(F.forall(x, ok), F.lit(False))
 
 
-def _matrix(values: pa.ListArray, width: int) -> np.ndarray:
+def _matrix(values: pa.ListArray, width: int, kind: type = np.float64) -> np.ndarray:
     values = values if isinstance(values, pa.ListArray) else values.combine_chunks()
-    flat = np.asarray(values.flatten(), dtype=np.float64)
+    flat = np.asarray(values.flatten()).astype(kind)
     lengths = np.asarray(values.value_lengths())
-    out = np.zeros((len(lengths), width))
+    out = np.zeros((len(lengths), width), dtype=kind)
     if len(flat) == out.size and (lengths == width).all():
         return flat.reshape(out.shape)
     rows = np.repeat(np.arange(len(lengths)), lengths)
@@ -49,18 +51,19 @@ def _matrix(values: pa.ListArray, width: int) -> np.ndarray:
     return out
 
 
-def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(candidate ids, scores: queries x candidates) in chunks; a query's own row scores -inf."""
+def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(candidate ids, float64 scores: queries x candidates, exact scores) in chunks; a query's own rows score -inf."""
     row_of = np.argsort(ids, kind="stable")
     for batch in batches:
         for at in range(0, batch.num_rows, CHUNK):
             part = batch.slice(at, CHUNK)
             own = np.asarray(part.column(0), dtype=np.int64)
-            scores = queries @ _matrix(part.column(1), queries.shape[1]).T
+            exact = queries @ _matrix(part.column(1), queries.shape[1], queries.dtype.type).T
+            scores = exact.astype(np.float64)
             left, right = np.searchsorted(ids[row_of], own, "left"), np.searchsorted(ids[row_of], own, "right")
             for c in np.flatnonzero(right > left):
                 scores[row_of[left[c] : right[c]], c] = -np.inf
-            yield own, scores
+            yield own, scores, exact
 
 
 def _histogram(ids, queries, low, high, width, k):
@@ -68,7 +71,7 @@ def _histogram(ids, queries, low, high, width, k):
         q = len(ids)
         counts = np.zeros(q * BINS, dtype=np.int64)
         base = (np.arange(q) * BINS)[:, None]
-        for _, scores in _scored(batches, ids, queries):
+        for _, scores, _ in _scored(batches, ids, queries):
             bins = np.floor((scores - low[:, None]) / width[:, None])
             inside = (bins >= 0) & (bins < BINS) & (scores < high[:, None])
             counts += np.bincount((np.where(inside, bins, 0).astype(np.int64) + base)[inside], minlength=q * BINS)
@@ -89,14 +92,14 @@ def _survivors(ids, queries, edge, k):
         return q[rank < k], v[rank < k], s[rank < k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
-        for own, scores in _scored(batches, ids, queries):
+        held = (np.zeros(0, dtype=np.int64),) * 3
+        for own, scores, exact in _scored(batches, ids, queries):
             row, col = np.nonzero(scores >= edge[:, None])
-            held = tuple(np.concatenate((a, b)) for a, b in zip(held, (row, own[col], scores[row, col]), strict=True))
+            held = tuple(np.concatenate((a, b)) for a, b in zip(held, (row, own[col], exact[row, col].astype(np.int64)), strict=True))
             if len(held[0]) > 4 * k * max(1, len(ids)):
                 held = best(*held)
         q, v, s = best(*held)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -104,7 +107,7 @@ def _survivors(ids, queries, edge, k):
 def _edges(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, norm: float, k: int) -> np.ndarray:
     """A score for each query that at least k candidates reach (or all, if fewer), and few more do."""
     spark = rows.sparkSession
-    reach = np.floor(np.sqrt((queries**2).sum(axis=1)) * norm) + 1
+    reach = np.floor(np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1)) * norm * (1 + 1e-9)) + 1
     low, width = -reach, np.ceil((2 * reach + 1) / BINS)
     high = low + BINS * width  # a pass counts scores in [low, high) only: those from high on are in `above`
     above = np.zeros(len(ids), dtype=np.int64)
@@ -133,23 +136,27 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, wa
     """query_id, rank (from 1), vec_id, score of the k best candidates of each row whose vec_id is divisible by ``every``."""
     x = F.col("embedding")
     rows = vectors.where(F.col("vec_id").isNotNull() & finite(x)).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(x, scale).alias("v"))
-    rows = materialize(rows, "vectors")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda acc, y: acc + y.cast("double") * y.cast("double"))
     is_query = F.col("vec_id") % every == 0
     facts = rows.agg(F.max(square).alias("square"), F.max(F.size("v")).alias("width"), F.count(F.when(is_query, 1)).alias("queries")).first()
-    out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+    spark, kinds = vectors.sparkSession, "query_id long, vec_id long, score long"
     norm = float(facts["square"] or 0.0) ** 0.5
-    if norm**2 >= 2**53:
-        raise ValueError("scores reach 2**53: scale the vectors down")
-    waves = -(-facts["queries"] // wave)
+    if norm**2 * (1 + 1e-9) >= 2**63:
+        raise ValueError("scores reach 2**63 and don't fit a long: scale the vectors down")
+    kind = np.float64 if norm**2 < 2**53 else np.int64
+    waves, out = -(-facts["queries"] // wave), None
+    candidates = rows.select("vec_id", "v")
     for w in range(waves):
-        own = rows.where(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w)).toArrow()
+        own = rows.where(is_query & (F.pmod(F.xxhash64("row"), F.lit(waves)) == w)).select("vec_id", "v").toArrow()
         ids = np.asarray(own.column(0), dtype=np.int64)
         if not len(ids):
             continue
-        queries = _matrix(own.column(1), facts["width"])
-        edge = _edges(rows, ids, queries, norm, k)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, queries, edge))
-        out = out.unionByName(rows.mapInArrow(lambda b, s=shared: _survivors(*s.value, k)(b), "query_id long, vec_id long, score long"))
+        queries = _matrix(own.column(1), facts["width"], kind)
+        edge = _edges(candidates, ids, queries, norm, k)
+        shared = spark.sparkContext.broadcast((ids, queries, edge))
+        found = candidates.mapInArrow(lambda b, s=shared: _survivors(*s.value, k)(b), kinds)
+        out = found if waves == 1 else materialize(found, "best", out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = spark.createDataFrame([], kinds) if out is None else out
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -21,21 +22,23 @@ def made(spark, texts, sources=None):
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 
-def test_edf_deviates_by_less_than_a_block():
-    parts = mixing.shares({"a": 0.36, "b": 0.21, "c": 0.2, "d": 0.013, "e": 0.217}, 256)
-    assert sum(parts.values()) == 256
-    order = {slot: s for s, slots in mixing.edf(parts).items() for slot in slots}
+@pytest.mark.parametrize("weights", [{"a": 0.36, "b": 0.21, "c": 0.2, "d": 0.013, "e": 0.217}, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, {"a": 1.0, "rare": 0.0001}])
+def test_edf_deviates_by_less_than_a_block(weights):
+    """From the very targets, over many more slots than a small weight needs for one block."""
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
     seen = Counter()
-    for t in range(256):
-        seen[order[t]] += 1
-        assert all(abs(seen[s] - (t + 1) * m / 256) < 1 for s, m in parts.items())
+    for t, s in zip(range(30_000), mixing.edf(mixing.exact(weights)), strict=False):
+        seen[s] += 1
+        if t % 7 == 0:
+            assert all(abs(seen[x] - (t + 1) * w) < 1 for x, w in share.items())
 
 
 @pytest.mark.parametrize("weights", [None, {"hot": 0.5, "x": 0.3, "y": 0.2}, {"hot": 0.0, "x": 1.0}])
 def test_positions(spark, weights):
     rng = random.Random(4)
     sources = rng.choices(["hot", "x", "y", "z", None], [40, 10, 5, 1, 3], k=900)
-    rows = mixing.positions(made(spark, ["t"] * 900, sources), weights, block=8, period=64).collect()
+    rows = mixing.positions(made(spark, ["t"] * 900, sources), weights, block=8).collect()
     assert sorted(r.position for r in rows) == list(range(900)) and {r.doc_id for r in rows} == set(range(900))
     assert all(r.source == sources[r.doc_id] for r in rows)
     sizes = Counter((r.source, r.block) for r in rows)
