@@ -41,6 +41,33 @@ def turnouts(edges: DataFrame) -> DataFrame:
     return degrees(edges).where("degree >= 3")
 
 
+def branchings(paths: DataFrame, node: str = "node") -> DataFrame:
+    """Places (line, seq, node) where track branches: three paths or more end there, or it lies inside one path and on another. Two paths
+    that only meet end to end are one track in two pieces; a path of one point counts for nothing."""
+    own = Window.partitionBy("line")
+    rows = paths.withColumns({"first": F.min("seq").over(own), "last": F.max("seq").over(own)}).where("first < last")
+    end = (F.col("seq") == F.col("first")) | (F.col("seq") == F.col("last"))
+    counts = rows.groupBy(node).agg(F.sum(end.cast("long")).alias("ends"), F.sum((~end).cast("long")).alias("inner"))
+    return counts.where("ends >= 3 OR inner >= 2 OR (inner >= 1 AND ends >= 1)").select(node)
+
+
+def track_nodes(paths: DataFrame) -> DataFrame:
+    """Points (line, mode, node) with the graph node they stand for: the place itself on a railway, the place on its line for a metro, so
+    that metro lines never join between stations."""
+    return paths.withColumn("graph_node", F.when(F.col("mode") == "metro", F.concat_ws("@", F.col("node").cast("string"), F.col("line").cast("string"))).otherwise(F.col("node").cast("string")))
+
+
+def changes(stations: DataFrame, reach: float, other_mode: int = 3, same_mode: int = 2) -> DataFrame:
+    """a, b, metres: walks between stations (id, name, mode, lon, lat): each rail station to its nearest metro stations, and to its nearest
+    rail stations of other names, a few each, once for each pair."""
+    other = stations.select(F.col("id").alias("b"), F.col("name").alias("r_name"), F.col("mode").alias("r_mode"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    pairs = within(stations.withColumnRenamed("id", "a"), other, reach).where("a <> b AND mode = 'rail' AND (r_mode = 'metro' OR name <> r_name)")
+    rank = F.row_number().over(Window.partitionBy("a", "r_mode").orderBy("metres", "b"))
+    few = pairs.withColumn("turn", rank).where(F.col("turn") <= F.when(F.col("r_mode") == "metro", other_mode).otherwise(same_mode))
+    walk = F.greatest(F.lit(120), F.floor(F.col("metres") * F.lit(1.4) + 0.5)).cast("long")
+    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), walk.alias("metres")).distinct()
+
+
 def adopt(edges: DataFrame, labels: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, label, round: unlabelled nodes take the label that most of their neighbours have (ties: the smaller), until none is left to take one or for some rounds."""
     both = _cut(_both(edges))

@@ -8,57 +8,84 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.geo import haversine
+from quillon.functions.geo import EARTH_M, haversine
+
+
+#: A rule table of more rows than this isn't broadcast.
+RULES = 10_000
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the session's shared folder: lineage ends here."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="quillon-"))
     return df.checkpoint()
 
 
-def within(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat"), top_lat: float = 75.0) -> DataFrame:
-    """Pairs at most ``metres`` apart, with their distance. Left rows go to the 3 x 3 cells around them, right rows to their own.
+def _cells(lat_band: Column, lat_deg: float, metres: float) -> Column:
+    """How many cells a band of latitudes is cut into: each is as wide as the reach at the far edge of the neighbouring bands."""
+    edge = F.greatest(F.abs((lat_band - 1) * lat_deg), F.abs((lat_band + 2) * lat_deg))
+    half = math.sin(min(math.pi / 2, metres / (2 * EARTH_M)))
+    sine = F.lit(half) / F.cos(F.radians(F.least(edge, F.lit(90.0))))
+    width = F.when((edge >= 89.999) | (sine >= 1), F.lit(360.0)).otherwise(F.degrees(2 * F.asin(F.least(sine, F.lit(1.0)))) * 1.000001)
+    return F.greatest(F.lit(1), F.floor(360.0 / width)).cast("long")
+
 
-    Cells are wide enough up to ``top_lat`` degrees. Columns of both sides must differ in name; each pair comes once.
+def within(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat")) -> DataFrame:
+    """Pairs at most ``metres`` apart, with their distance, anywhere on the globe.
+
+    Bands of latitude are as high as the reach, and cut into cells as wide as it; cells go round the globe. Left rows go to the cells around
+    them in their own and the two neighbouring bands, right rows to their own. Columns of both sides must differ in name; each pair
+    comes once.
     """
-    lat_deg = metres / 111_000.0
-    lon_deg = lat_deg / math.cos(math.radians(top_lat))
-    cell = lambda at: (F.floor(F.col(at[0]) / lon_deg).cast("long"), F.floor(F.col(at[1]) / lat_deg).cast("long"))
-    lx, ly = cell(left_at)
-    rx, ry = cell(right_at)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = left.withColumn("c_step", F.explode(steps)).withColumns({"c_x": lx + F.col("c_step.i"), "c_y": ly + F.col("c_step.j")}).drop("c_step")
-    b = right.withColumns({"c_x": rx, "c_y": ry})
+    lat_deg = max(1e-9, math.degrees(min(math.pi, metres / EARTH_M)) * 1.000001)
+    band = lambda at: F.floor(F.col(at[1]) / lat_deg).cast("long")
+    place = lambda at, n: F.least(F.floor(F.pmod(F.col(at[0]) + 180.0, F.lit(360.0)) / 360.0 * n).cast("long"), n - 1)
+    a = left.withColumn("c_y", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: band(left_at) + i)))
+    a = a.withColumn("c_n", _cells(F.col("c_y"), lat_deg, metres))
+    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.pmod(place(left_at, F.col("c_n")) + i, F.col("c_n"))))
+    a = a.withColumn("c_x", F.explode(around)).drop("c_n")
+    b = right.withColumn("c_y", band(right_at))
+    b = b.withColumn("c_x", place(right_at, _cells(F.col("c_y"), lat_deg, metres)))
     joined = a.join(b, ["c_x", "c_y"]).drop("c_x", "c_y")
     distance = haversine(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
     return joined.withColumn("metres", distance).where(F.col("metres") <= metres)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int = 1, metres: float = 50_000.0, doublings: int = 4, **at) -> DataFrame:
-    """The k nearest right rows of each left row, ties to the smaller key. The reach doubles for those that found too few.
-
-    Left rows without k partners within the last reach return what there is within it.
-    """
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, k: int = 1, metres: float = 50_000.0, **at) -> DataFrame:
+    """The k nearest right rows of each left row, ties to the smaller key. The reach doubles for those that found too few, until it goes
+    half round the globe: then what there is has been found."""
     todo, right, found = cut(left), cut(right), None
-    for step in range(doublings + 1):
-        pairs = within(todo, right, metres * 2**step, **at)
+    while True:
+        pairs = within(todo, right, metres, **at)
         rank = Window.partitionBy(key).orderBy("metres", right_key)
         ranked = pairs.withColumns({"rank": F.row_number().over(rank), "n_found": F.count(F.lit(1)).over(Window.partitionBy(key))}).where(F.col("rank") <= k)
-        done = cut(ranked if step == doublings else ranked.where(F.col("n_found") >= k))
+        last = metres >= math.pi * EARTH_M
+        done = cut(ranked if last else ranked.where(F.col("n_found") >= k))
         found = done if found is None else found.unionByName(done)
-        if step < doublings:
-            todo = cut(todo.join(done.select(key).distinct(), key, "left_anti"))
-            if not todo.limit(1).count():
-                break
+        if last:
+            break
+        todo = cut(todo.join(done.select(key).distinct(), key, "left_anti"))
+        if not todo.limit(1).count():
+            break
+        metres = math.pi * EARTH_M if metres * 4 > 2_000_000 else metres * 2
     return found.drop("n_found")
 
 
 def band(left: DataFrame, bands: DataFrame, value: str, low: str = "low", high: str = "high") -> DataFrame:
-    """Rows with the band [low, high) that holds their value; ``bands`` is a rule table of few rows and is broadcast."""
-    return left.join(F.broadcast(bands), (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
+    """Rows with the band [low, high) that holds their value. Bands don't overlap; up to RULES of them are broadcast, more are met by an
+    as-of join on their lower bounds, salted so that rows don't gather in one task."""
+    if bands.limit(RULES + 1).count() <= RULES:
+        return left.join(F.broadcast(bands), (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
+    salts = 64
+    spread = bands.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = left.withColumn("b_salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
+    out = as_of(rows, spread, ["b_salt"], value, low, bands.columns).where(F.col(value) < F.col(f"last_{high}"))
+    return out.select(*left.columns, *[F.col(f"last_{c}").alias(c) for c in bands.columns])
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, right_at: str, take: list[str]) -> DataFrame:

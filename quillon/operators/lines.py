@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.geo import haversine, simplified, turn
+from quillon.functions.geo import EARTH_M, haversine, simplified, turn
 
 M = 111_320.0
 
@@ -54,58 +55,75 @@ def simplify(points: DataFrame, metres: float) -> DataFrame:
     return rows.groupBy("line").applyInPandas(run, f"line {kinds['line']}, seq {kinds['seq']}, lon double, lat double")
 
 
-def project_stops(stops: list[tuple[float, float]], path: list[tuple[float, float]], apart: float = 1.0, most: int = 40) -> list[tuple[float, float]] | None:
-    """(metres along, metres off) of each stop on a path, with growing distances and the least sum of squared offsets.
+#: Why a trip has no places on its path.
+TOO_FAR, NO_ORDER = "station_too_far_from_route", "station_order_conflicts_with_route"
 
-    For each stop the ``most`` nearest segments are candidates. None if no growing sequence exists.
+
+def _apart(a: tuple[float, float], b: tuple[float, float]) -> float:
+    """Metres by which two stops must be apart on a path: a tenth of their distance, 100 at most."""
+    h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
+    return max(0.01, min(100.0, 0.1 * 2 * EARTH_M * math.asin(math.sqrt(min(1.0, h)))))
+
+
+def project_stops(stops: list[tuple[float, float]], path: list[tuple[float, float]], tolerance: float = 1500.0) -> tuple[list[tuple[float, float]] | None, str | None]:
+    """(metres along, metres off) of each stop on a path, and why there are none.
+
+    Every segment within ``tolerance`` of a stop gives it one place; places grow by the stops' least distance apart, and their squared
+    offsets have the least sum. Candidates are sorted along the path, so a running minimum finds the best place before each.
     """
     if len(path) < 2 or not stops:
-        return None
+        return None, TOO_FAR
     k = M * math.cos(math.radians(path[0][1]))
-    flat = [(x * k, y * M) for x, y in path]
-    along = [0.0]
-    for (ax, ay), (bx, by) in zip(flat, flat[1:], strict=False):
-        along.append(along[-1] + math.hypot(bx - ax, by - ay))
+    flat = np.array(path, dtype=float) * (k, M)
+    a, d = flat[:-1], np.diff(flat, axis=0)
+    length = (d**2).sum(axis=1)
+    along = np.concatenate(([0.0], np.cumsum(np.sqrt(length))))
     columns = []
-    for x, y in stops:
-        px, py = x * k, y * M
-        found = []
-        for i, ((ax, ay), (bx, by)) in enumerate(zip(flat, flat[1:], strict=False)):
-            length = (bx - ax) ** 2 + (by - ay) ** 2
-            t = 0.0 if length == 0 else max(0.0, min(1.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / length))
-            found.append((math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay)), along[i] + t * (along[i + 1] - along[i])))
-        columns.append(sorted(sorted(found)[:most], key=lambda c: c[1]))
-    best = [[(c[0] ** 2, -1) for c in columns[0]]]
+    for stop in np.array(stops, dtype=float) * (k, M):
+        share = np.clip(((stop - a) * d).sum(axis=1) / np.where(length > 0, length, 1.0), 0.0, 1.0)
+        off = np.hypot(*(a + d * share[:, None] - stop).T)
+        near = np.flatnonzero(off <= tolerance)
+        if not len(near):
+            return None, TOO_FAR
+        at = along[:-1][near] + share[near] * np.sqrt(length[near])
+        order = np.lexsort((off[near], at))
+        columns.append((at[order], off[near][order]))
+    cost, back = [columns[0][1] ** 2], []
     for j in range(1, len(columns)):
-        row = []
-        for off, at in columns[j]:
-            options = [(best[j - 1][p][0] + off**2, p) for p, (_, before) in enumerate(columns[j - 1]) if before + apart <= at and best[j - 1][p][0] < math.inf]
-            row.append(min(options, default=(math.inf, -1)))
-        best.append(row)
-    cost, at = min((c[0], i) for i, c in enumerate(best[-1]))
-    if cost == math.inf:
-        return None
-    out = []
+        before = columns[j - 1][0]
+        least = np.minimum.accumulate(cost[-1])
+        first = np.flatnonzero(np.concatenate(([True], least[1:] < least[:-1])))  # where each running minimum begins
+        upto = np.searchsorted(before, columns[j][0] - _apart(stops[j - 1], stops[j]), side="right") - 1
+        best = np.where(upto >= 0, least[upto], np.inf)
+        back.append(first[np.maximum(np.searchsorted(first, upto, side="right") - 1, 0)])
+        cost.append(best + columns[j][1] ** 2)
+        if not np.isfinite(cost[-1]).any():
+            return None, NO_ORDER
+    at, out = int(np.argmin(cost[-1])), []
     for j in range(len(columns) - 1, -1, -1):
-        off, metres = columns[j][at]
-        out.append((metres, off))
-        at = best[j][at][1]
-    return out[::-1]
+        out.append((float(columns[j][0][at]), float(columns[j][1][at])))
+        at = int(back[j - 1][at]) if j else at
+    return out[::-1], None
 
 
-def station_projection(stops: DataFrame, paths: DataFrame) -> DataFrame:
-    """line, seq, along, off: stops (line, seq, lon, lat) on their line's path (line, seq, lon, lat); the reverse path is tried second."""
+def station_projection(stops: DataFrame, paths: DataFrame, tolerance: float = 1500.0) -> DataFrame:
+    """line, seq, along, off, reason: stops (line, seq, lon, lat) on their line's path (line, seq, lon, lat). Where their order conflicts with
+    the path, the reverse path is tried; a line without places has one row with the reason."""
 
     def run(key: tuple, s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         s, p = s.sort_values("seq"), p.sort_values("seq")
+        if not len(s):
+            return pd.DataFrame({"line": [], "seq": [], "along": [], "off": [], "reason": []})
         at, path = list(zip(s["lon"], s["lat"], strict=True)), list(zip(p["lon"], p["lat"], strict=True))
-        found = project_stops(at, path) or project_stops(at, path[::-1])
+        found, reason = project_stops(at, path, tolerance)
+        if reason == NO_ORDER:
+            found, reason = project_stops(at, path[::-1], tolerance)
         if found is None:
-            return pd.DataFrame({"line": [], "seq": [], "along": [], "off": []})
-        return pd.DataFrame({"line": key[0], "seq": s["seq"].to_numpy(), "along": [f[0] for f in found], "off": [f[1] for f in found]})
+            return pd.DataFrame({"line": [key[0]], "seq": [None], "along": [None], "off": [None], "reason": [reason]})
+        return pd.DataFrame({"line": key[0], "seq": s["seq"].to_numpy(), "along": [f[0] for f in found], "off": [f[1] for f in found], "reason": None})
 
     kinds = dict(stops.dtypes)
-    return stops.groupBy("line").cogroup(paths.groupBy("line")).applyInPandas(run, f"line {kinds['line']}, seq {kinds['seq']}, along double, off double")
+    return stops.groupBy("line").cogroup(paths.groupBy("line")).applyInPandas(run, f"line {kinds['line']}, seq {kinds['seq']}, along double, off double, reason string")
 
 
 def slots(shared: DataFrame) -> DataFrame:

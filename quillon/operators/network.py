@@ -28,7 +28,7 @@ def imputed_vote(rows: DataFrame, key: str, value: str, weight: str, fallback: i
 def corrected(rows: DataFrame, rules: DataFrame, key: str, value: str) -> DataFrame:
     """Rows whose value a rule (key, value) rewrites; an error if rules for one key disagree."""
     one = rules.groupBy(key).agg(F.when(F.count_distinct(value) > 1, F.raise_error(F.lit("conflicting rules"))).otherwise(F.max(value)).alias("r_value"))
-    return rows.join(F.broadcast(one), key, "left").withColumn(value, F.coalesce("r_value", value)).withColumn("corrected", F.col("r_value").isNotNull()).drop("r_value")
+    return rows.join(one, key, "left").withColumn(value, F.coalesce("r_value", value)).withColumn("corrected", F.col("r_value").isNotNull()).drop("r_value")
 
 
 def reasons(rows: DataFrame, cases: dict[str, Column]) -> DataFrame:
@@ -40,7 +40,7 @@ def reasons(rows: DataFrame, cases: dict[str, Column]) -> DataFrame:
 def hidden_identities(members: DataFrame, excluded: DataFrame, key: str, member: str) -> DataFrame:
     """Keys all of whose members are excluded."""
     sets = members.groupBy(key).agg(F.collect_set(member).alias("all"))
-    gone = members.join(F.broadcast(excluded.select(member).distinct()), member, "left_semi").groupBy(key).agg(F.collect_set(member).alias("gone"))
+    gone = members.join(excluded.select(member).distinct(), member, "left_semi").groupBy(key).agg(F.collect_set(member).alias("gone"))
     return sets.join(gone, key).where(F.size(F.array_except("all", "gone")) == 0).select(key, F.size("all").alias("n"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.geo import bearing, between, haversine
-from quillon.functions.scalars import half_up
+from quillon.functions.scalars import half_up, natural_key
+from quillon.operators.joins import as_of
 
 DAY = 86_400
 
@@ -56,7 +57,7 @@ def exemplars(rejects: DataFrame, k: int = 8) -> DataFrame:
 def legs(stops: DataFrame, places: DataFrame) -> DataFrame:
     """Each stop but the first with the leg that leads to it: seconds, metres and km/h. ``places``: stop_id, lon, lat."""
     order = Window.partitionBy("trip_id").orderBy("seq")
-    at = F.broadcast(places.select("stop_id", "lon", "lat"))
+    at = places.select("stop_id", "lon", "lat")
     rows = stops.join(at, "stop_id").withColumns({f"prev_{c}": F.lag(c).over(order) for c in ("stop_id", "dep_s", "lon", "lat")})
     rows = rows.where(F.col("prev_stop_id").isNotNull())
     rows = rows.withColumns({"seconds": F.col("arr_s") - F.col("prev_dep_s"), "metres": half_up(haversine(F.col("prev_lon"), F.col("prev_lat"), F.col("lon"), F.col("lat")))})
@@ -92,7 +93,7 @@ def position_at(stops: DataFrame, runs: DataFrame, places: DataFrame, t: Column)
     """
     order = Window.partitionBy("trip_id", "service_date").orderBy("seq")
     midnight = F.datediff("service_date", F.lit("1970-01-01").cast("date")).cast("long") * DAY
-    rows = active_at(runs, t).join(normalised(stops), "trip_id").join(F.broadcast(places.select("stop_id", "lon", "lat")), "stop_id", "left")
+    rows = active_at(runs, t).join(normalised(stops), "trip_id").join(places.select("stop_id", "lon", "lat"), "stop_id", "left")
     rows = rows.withColumns({"arr": midnight + F.col("arr_s"), "dep": midnight + F.col("dep_s")})
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("stop_id", "arr", "lon", "lat")})
     here = rows.where((F.col("arr") <= t) & (t < F.coalesce(F.col("next_arr"), F.col("end_at") + 1)))
@@ -107,6 +108,63 @@ def position_at(stops: DataFrame, runs: DataFrame, places: DataFrame, t: Column)
     )
 
 
+def positions_along(stops: DataFrame, runs: DataFrame, shapes: DataFrame, t: Column) -> DataFrame:
+    """Status and place on its shape of every run at t: scheduled before it starts, dwell at a stop, running between two, finished from its
+    end on.
+
+    ``stops`` have the ``distance`` of each stop along the trip's shape; ``shapes``: trip_id, along, lon, lat of every vertex. Between stops
+    a run moves evenly in time along the shape. The vertex behind it comes from an as-of join. Heading is that of the leg it is on, NULL
+    unless it moves.
+    """
+    order = Window.partitionBy("trip_id", "service_date").orderBy("seq")
+    midnight = F.datediff("service_date", F.lit("1970-01-01").cast("date")).cast("long") * DAY
+    rows = runs.join(normalised(stops), "trip_id").withColumns({"arr": midnight + F.col("arr_s"), "dep": midnight + F.col("dep_s")})
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in ("stop_id", "arr", "distance")})
+    status = F.when(t < F.col("start_at"), "scheduled").when(t >= F.col("end_at"), "finished").when((F.col("arr") <= t) & (t < F.col("dep")), "dwell").otherwise("running")
+    holds = F.when(status == "scheduled", F.col("seq") == F.min("seq").over(Window.partitionBy("trip_id", "service_date")))
+    holds = holds.when(status == "finished", F.col("next_arr").isNull()).otherwise(((F.col("arr") <= t) & (t < F.col("dep"))) | ((F.col("dep") <= t) & (t < F.col("next_arr"))))
+    here = rows.withColumns({"status": status, "holds": holds}).where("holds")
+    moving = F.col("status") == "running"
+    here = here.withColumn("progress", F.when(moving, (t - F.col("dep")) / (F.col("next_arr") - F.col("dep"))).when(F.col("status") == "finished", 1.0).otherwise(0.0))
+    here = here.withColumn("at", F.col("distance") + F.when(moving, (F.col("next_distance") - F.col("distance")) * F.col("progress")).otherwise(0.0))
+    along = Window.partitionBy("trip_id").orderBy("along")
+    legs = shapes.withColumns({f"to_{c}": F.lead(c).over(along) for c in ("along", "lon", "lat")})
+    on = as_of(here, legs, ["trip_id"], "at", "along", ["along", "lon", "lat", "to_along", "to_lon", "to_lat"])
+    length = F.col("last_to_along") - F.col("last_along")
+    share = F.when(length > 0, (F.col("at") - F.col("last_along")) / length).otherwise(0.0)
+    at = lambda c: between(F.col(f"last_{c}"), F.coalesce(f"last_to_{c}", f"last_{c}"), share)
+    heading = bearing(F.col("last_lon"), F.col("last_lat"), F.col("last_to_lon"), F.col("last_to_lat"))
+    event = F.when(F.col("status") == "finished", F.lit(None).cast("string")).when(moving, "arrival").otherwise("departure")
+    due = F.when(F.col("status") == "scheduled", F.col("start_at")).when(moving, F.col("next_arr")).when(F.col("status") == "dwell", F.col("dep"))
+    return on.select("trip_id", "service_date", "status", "stop_id", F.when(moving, F.col("next_stop_id")).alias("next_stop_id"), "progress", at("lon").alias("lon"), at("lat").alias("lat"),
+                     F.when(moving & (F.col("next_distance") > F.col("distance")), heading).alias("heading"), event.alias("next_event"), (due - t).alias("seconds_to_next"))
+
+
+def trip_list(active: DataFrame, calls: DataFrame, query: str | None, types: list[str], box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """trip_id, rank: the trips shown, in order. ``active``: trip_id, number, train_type, renderable, lon, lat; ``calls``: trip_id, stop_name.
+
+    A query keeps trips whose number, or a stop of which, holds it (blanks and case don't count); the trip of that very number comes first.
+    Without one, trips with a drawable path come first. Then by number, in natural order. A box keeps drawable trips inside it.
+    """
+    rows = active.where(F.col("train_type").isin(*types))
+    key = "".join((query or "").upper().split())
+    if key:
+        named = calls.where(F.contains("stop_name", F.lit(key))).select("trip_id").distinct().withColumn("named", F.lit(True))
+        rows = rows.join(named, "trip_id", "left").where(F.contains(F.upper("number"), F.lit(key)) | F.col("named"))
+        first = F.when(F.upper("number") == key, 0).otherwise(1)
+    else:
+        first = F.when(F.col("renderable"), 0).otherwise(1)
+    if box:
+        rows = rows.where(F.col("renderable") & F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
+    return rows.withColumn("first", first).select("trip_id", "number", "first", natural_key(F.col("number")).alias("key"))
+
+
+def stale(snapshots: DataFrame, today: Column, days: int = 3) -> DataFrame:
+    """Snapshots (feed, day) with their age in days and whether that is more than allowed."""
+    age = F.datediff(today, F.col("day"))
+    return snapshots.withColumns({"age": age, "stale": age > days})
+
+
 def ranked_instances(runs: DataFrame, t: Column, by: list[str]) -> DataFrame:
     """Runs ranked within ``by``: active first, then future (nearest first), then past (latest end first)."""
     group = F.when((F.col("start_at") <= t) & (t < F.col("end_at")), 0).when(F.col("start_at") > t, 1).otherwise(2)

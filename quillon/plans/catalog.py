@@ -37,7 +37,8 @@ def whole(x) -> F.Column:
 PRICE_BANDS = [(0.0, 50_000.0, "low"), (50_000.0, 150_000.0, "middle"), (150_000.0, 300_000.0, "high"), (300_000.0, 1e12, "top")]
 BRAND_RULES = [("^(red|blue)", "colour"), ("(bolt|gear)$", "hardware"), ("ring", "ring")]
 _BANDS_SQL = ", ".join(f"({a!r}, {b!r}, '{n}')" for a, b, n in PRICE_BANDS)
-_T = "(SELECT max(start_at) FROM runs)"
+#: An hour and a half into the fifteenth day of service.
+_T = "(SELECT min(start_at) // 86400 * 86400 + 14 * 86400 + 5400 FROM runs)"
 
 
 def _runs(t: Tables) -> DataFrame:
@@ -45,8 +46,9 @@ def _runs(t: Tables) -> DataFrame:
     return runs.join(t.trip().select("trip_id", "line_id"), "trip_id")
 
 
-def _last_start(t: Tables):
-    return F.lit(_runs(t).agg(F.max("start_at")).first()[0])
+def _instant(t: Tables):
+    first = _runs(t).agg(F.min("start_at")).first()[0]
+    return F.lit(None if first is None else first // 86_400 * 86_400 + 14 * 86_400 + 5400).cast("long")
 
 
 # --- projections, filters ---------------------------------------------------------------------------------------------
@@ -56,7 +58,7 @@ def _last_start(t: Tables):
 SELECT * FROM d WHERE lon >= 100.5e0 AND lon <= 103e0 AND lat <= 22e0""")
 def stop_dim(t: Tables) -> DataFrame:
     where = t.stop().where("lon >= 100.5 AND lon <= 103 AND lat <= 22")
-    dim = F.broadcast(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")))
+    dim = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return where.join(dim, F.col("nation_key") == F.col("n_nationkey")).select("stop_id", "stop_name", F.col("n_name").alias("nation"), F.col("r_name").alias("region"), "lon", "lat")
 
 
@@ -160,7 +162,7 @@ def instances(t: Tables) -> DataFrame:
 
 @query(f"SELECT trip_id, service_date, train_type, start_at, end_at FROM runs WHERE start_at <= {_T} AND {_T} < end_at")
 def active_at(t: Tables) -> DataFrame:
-    return timetable.active_at(timetable.instances(t.trip_stop(), t.trip()), _last_start(t))
+    return timetable.active_at(timetable.instances(t.trip_stop(), t.trip()), _instant(t))
 
 
 @query(""", i AS (SELECT DISTINCT date_diff('day', DATE '1970-01-01', service_date) * 86400 + 7200 AS t FROM trip)
@@ -183,14 +185,14 @@ p AS (SELECT *, {_T} < dep AS dwell, CASE WHEN {_T} < dep OR n_arr IS NULL THEN
 CAST(floor((lon + (coalesce(n_lon, lon) - lon) * share) * 1e5 + 5e-1) AS BIGINT) AS lon_e5, CAST(floor((lat + (coalesce(n_lat, lat) - lat) * share) * 1e5 + 5e-1) AS BIGINT) AS lat_e5,
 CAST(floor(share * 1e6 + 5e-1) AS BIGINT) AS progress_e6 FROM p""")
 def position_at(t: Tables) -> DataFrame:
-    at = _last_start(t)
+    at = _instant(t)
     p = timetable.position_at(t.trip_stop(), timetable.instances(t.trip_stop(), t.trip()), t.stop(), at)
     return p.select("trip_id", "status", "stop_id", F.coalesce("next_stop_id", F.lit(-1)).alias("next_stop_id"), whole(F.col("lon") * 1e5).alias("lon_e5"), whole(F.col("lat") * 1e5).alias("lat_e5"), whole(F.col("progress") * 1e6).alias("progress_e6"))
 
 
 @query(_POSITION + f"SELECT trip_id, CASE WHEN dwell THEN 'departure' ELSE 'arrival' END AS next_event, CAST(CASE WHEN dwell THEN dep ELSE n_arr END - {_T} AS BIGINT) AS seconds_to_next FROM p")
 def next_event(t: Tables) -> DataFrame:
-    p = timetable.position_at(t.trip_stop(), timetable.instances(t.trip_stop(), t.trip()), t.stop(), _last_start(t))
+    p = timetable.position_at(t.trip_stop(), timetable.instances(t.trip_stop(), t.trip()), t.stop(), _instant(t))
     return p.select("trip_id", "next_event", F.col("seconds_to_next").cast("long"))
 
 
@@ -230,7 +232,7 @@ def weighted_mode_line(t: Tables) -> DataFrame:
 CAST(floor(1e6 * sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) / count(*) + 5e-1) AS BIGINT) AS done_e6
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def coverage_share(t: Tables) -> DataFrame:
-    rows = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     out = aggregates.shares(rows.withColumns({"one": F.lit(1), "nation": F.col("n_name")}), "nation", "one", {"urgent": F.col("o_orderpriority").startswith("1"), "done": F.col("o_orderstatus") == "F"})
     return out.select("nation", "total", whole(F.col("urgent") * 1e6).alias("urgent_e6"), whole(F.col("done") * 1e6).alias("done_e6"))
 
@@ -245,7 +247,7 @@ def dominant_value_rule(t: Tables) -> DataFrame:
 @query(""", l AS (SELECT nation_key, stop_id, count(*) AS n FROM trip_stop JOIN stop USING (stop_id) GROUP BY ALL)
 SELECT n_name AS city, string_agg(stop_id || ':' || n, ',' ORDER BY n DESC, stop_id) AS lines, CAST(sum(n) AS BIGINT) AS calls FROM l JOIN nation ON nation_key = n_nationkey GROUP BY n_name""")
 def nested_city_lines(t: Tables) -> DataFrame:
-    calls = t.trip_stop().groupBy("stop_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(t.stop()), "stop_id").join(F.broadcast(t.nation), F.col("nation_key") == F.col("n_nationkey"))
+    calls = t.trip_stop().groupBy("stop_id").agg(F.count(F.lit(1)).alias("n")).join(t.stop(), "stop_id").join(t.nation, F.col("nation_key") == F.col("n_nationkey"))
     parts = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "stop_id", "n")))
     return calls.groupBy(F.col("n_name").alias("city")).agg(F.array_join(F.transform(parts, lambda x: F.concat_ws(":", x["stop_id"].cast("string"), x["n"].cast("string"))), ",").alias("lines"), F.sum("n").alias("calls"))
 
@@ -310,7 +312,7 @@ r AS (SELECT point_id, stop_id, m, row_number() OVER (PARTITION BY point_id ORDE
 
 def _nearest_stops(t: Tables, k: int) -> DataFrame:
     stops = t.stop().select("stop_id", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    found = joins.nearest(t.points(), stops, "point_id", "stop_id", k, metres=20_000.0, doublings=5)
+    found = joins.nearest(t.points(), stops, "point_id", "stop_id", k, metres=20_000.0)
     return found.select("point_id", "stop_id", F.col("rank").cast("int").alias("rank"), whole(F.col("metres")).alias("metres"))
 
 
@@ -342,10 +344,10 @@ def anti_unserved(t: Tables) -> DataFrame:
 
 @query(f""", n AS (SELECT p.*, 'n' || (point_id % 40) AS name FROM points p)
 SELECT a.point_id AS a, b.point_id AS b, a.name AS name, CAST(floor({metres_sql('a', 'b')} + 5e-1) AS BIGINT) AS metres FROM n a JOIN n b ON a.name = b.name AND a.point_id < b.point_id
-WHERE {metres_sql('a', 'b')} >= 500 AND {metres_sql('a', 'b')} <= 20000""")
+WHERE {metres_sql('a', 'b')} >= 500 AND {metres_sql('a', 'b')} <= 60000""")
 def same_name_pairs(t: Tables) -> DataFrame:
     rows = t.points().select(F.col("point_id").alias("id"), F.concat(F.lit("n"), (F.col("point_id") % 40).cast("string")).alias("name"), "lon", "lat")
-    return joins.same_name_pairs(rows, 500.0, 20_000.0).withColumn("metres", whole(F.col("metres")))
+    return joins.same_name_pairs(rows, 500.0, 60_000.0).withColumn("metres", whole(F.col("metres")))
 
 
 @query("""SELECT e.event_id, coalesce(p.event_id, -1) AS last_event_id, coalesce(p.value, -1e0) AS last_value FROM (SELECT * FROM events WHERE event_type <> 'purchase') e
@@ -381,8 +383,8 @@ sym AS (SELECT u AS a, v AS b, metres FROM edge UNION SELECT v, u, metres FROM e
 
 
 def _edges(t: Tables) -> DataFrame:
-    a = F.broadcast(t.stop().select(F.col("stop_id").alias("u"), F.col("lon").alias("u_lon"), F.col("lat").alias("u_lat")))
-    b = F.broadcast(t.stop().select(F.col("stop_id").alias("v"), F.col("lon").alias("v_lon"), F.col("lat").alias("v_lat")))
+    a = t.stop().select(F.col("stop_id").alias("u"), F.col("lon").alias("u_lon"), F.col("lat").alias("u_lat"))
+    b = t.stop().select(F.col("stop_id").alias("v"), F.col("lon").alias("v_lon"), F.col("lat").alias("v_lat"))
     metres = geo.haversine(F.col("u_lon"), F.col("u_lat"), F.col("v_lon"), F.col("v_lat"))
     return t.track().join(a, "u").join(b, "v").where(metres < 45_000).select("u", "v", whole(metres).alias("metres"))
 
@@ -430,7 +432,7 @@ def contracted_edges(t: Tables) -> DataFrame:
 
 
 def _paths(t: Tables) -> DataFrame:
-    return t.trip_stop().join(F.broadcast(t.stop()), "stop_id").select(F.col("trip_id").alias("line"), "seq", "lon", "lat")
+    return t.trip_stop().join(t.stop(), "stop_id").select(F.col("trip_id").alias("line"), "seq", "lon", "lat")
 
 
 _PATHS = ", path AS (SELECT trip_id AS line, seq, lon, lat FROM trip_stop JOIN stop USING (stop_id))"
@@ -510,7 +512,7 @@ def douglas_peucker(t: Tables) -> DataFrame:
 @query()
 def station_projection(t: Tables) -> DataFrame:
     kept = lines.simplify(_paths(t), 5_000.0)
-    return lines.station_projection(_paths(t), kept)
+    return lines.station_projection(_paths(t), kept, 6_000.0)
 
 
 @query()
@@ -531,16 +533,16 @@ def inside_territory(t: Tables) -> DataFrame:
 
 
 @query(f""", e AS (SELECT point_id AS id, point_id % 20 AS line, lon, lat FROM points)
-SELECT a.id AS a, b.id AS b, a.line AS line, CAST(floor({metres_sql('a', 'b')} + 5e-1) AS BIGINT) AS metres FROM e a JOIN e b ON a.line = b.line AND a.id < b.id WHERE {metres_sql('a', 'b')} BETWEEN 100 AND 15000""")
+SELECT a.id AS a, b.id AS b, a.line AS line, CAST(floor({metres_sql('a', 'b')} + 5e-1) AS BIGINT) AS metres FROM e a JOIN e b ON a.line = b.line AND a.id < b.id WHERE {metres_sql('a', 'b')} BETWEEN 100 AND 60000""")
 def loose_ends(t: Tables) -> DataFrame:
     ends = t.points().select(F.col("point_id").alias("id"), (F.col("point_id") % 20).alias("line"), "lon", "lat")
-    return quality.loose_ends(ends, 100.0, 15_000.0).withColumn("metres", whole(F.col("metres")))
+    return quality.loose_ends(ends, 100.0, 60_000.0).withColumn("metres", whole(F.col("metres")))
 
 
-@query("""SELECT k, 'missing' AS finding FROM (SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30)
-UNION ALL SELECT k, 'unexpected' FROM (SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 30 EXCEPT SELECT p_partkey FROM part)""")
+@query("""SELECT k, 'missing' AS finding FROM (SELECT p_partkey AS k FROM part WHERE p_size > 3 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 47)
+UNION ALL SELECT k, 'unexpected' FROM (SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 47 EXCEPT SELECT p_partkey FROM part WHERE p_size > 3)""")
 def unmatched_names(t: Tables) -> DataFrame:
-    return quality.unmatched(t.part.select(F.col("p_partkey").alias("k")), t.lineitem.where("l_quantity > 30").select(F.col("l_partkey").alias("k")), "k")
+    return quality.unmatched(t.part.where("p_size > 3").select(F.col("p_partkey").alias("k")), t.lineitem.where("l_quantity > 47").select(F.col("l_partkey").alias("k")), "k")
 
 
 @query("""SELECT k, CAST(floor(total * 100 + 5e-1) AS BIGINT) AS total_cents FROM (SELECT o_orderkey AS k, o_totalprice AS total, coalesce(s, 0e0) AS parts FROM orders
@@ -590,7 +592,7 @@ def cube_counts(t: Tables) -> DataFrame:
 @query("""SELECT label, rank FROM (SELECT stop_id AS label, nation_key, n, row_number() OVER (PARTITION BY nation_key ORDER BY n DESC, stop_id) AS rank, count(*) OVER (PARTITION BY nation_key) AS c
 FROM stop JOIN (SELECT stop_id, count(*) AS n FROM trip_stop GROUP BY stop_id) USING (stop_id)) WHERE rank <= floor(4e-1 * c + 5e-1)""")
 def label_share(t: Tables) -> DataFrame:
-    calls = t.trip_stop().groupBy("stop_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(t.stop()), "stop_id")
+    calls = t.trip_stop().groupBy("stop_id").agg(F.count(F.lit(1)).alias("n")).join(t.stop(), "stop_id")
     w = Window.partitionBy("nation_key")
     rows = calls.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("n"), "stop_id")).cast("long"), "c": F.count(F.lit(1)).over(w)})
     return rows.where(F.col("rank") <= F.floor(F.col("c") * 0.4 + 0.5)).select(F.col("stop_id").alias("label"), "rank")
@@ -630,9 +632,12 @@ def late_rows(t: Tables) -> DataFrame:
     return windows.late_rows(t.events.withColumn("arrival", arrival), "arrival", 600).select("event_id", "user_id")
 
 
-@query(""", l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id, user_id, event_type FROM l WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) > 300000000""")
+@query(f"""WITH RECURSIVE {VIEWS}, e AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
+f(user_id, event_type, k, event_id, taken, ok) AS (SELECT user_id, event_type, k, event_id, us, true FROM e WHERE k = 1 UNION ALL
+SELECT e.user_id, e.event_type, e.k, e.event_id, CASE WHEN e.us - f.taken >= 86400000000 THEN e.us ELSE f.taken END, e.us - f.taken >= 86400000000 FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.k = f.k + 1)
+SELECT event_id, user_id, event_type FROM f WHERE ok""")
 def ttl_dedupe(t: Tables) -> DataFrame:
-    return windows.ttl_first(t.events, ["user_id", "event_type"], 300).select("event_id", "user_id", "event_type")
+    return windows.accepted(t.events, ["user_id"], "event_type", 86_400, 0).select("event_id", "user_id", "event_type")
 
 
 def queries() -> dict[str, Query]:

@@ -26,7 +26,7 @@ class Tables:
     def trip(self) -> DataFrame:
         letter = F.substring("o_orderpriority", 1, 1)
         kind = F.when(letter == "1", "G").when(letter == "2", "D").when(letter == "3", "C").otherwise("other")
-        return self.orders.select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 8).alias("service_id"), F.col("o_orderdate").cast("date").alias("service_date"), kind.alias("train_type"), F.col("o_custkey").alias("line_id"))
+        return self.orders.select(F.col("o_orderkey").alias("trip_id"), (F.col("o_custkey") % 8).alias("service_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_orderkey") % 28).cast("int")).alias("service_date"), kind.alias("train_type"), F.col("o_custkey").alias("line_id"))
 
     def trip_stop(self) -> DataFrame:
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -53,7 +53,7 @@ stop AS (
     FROM supplier
 ),
 trip AS (
-    SELECT o_orderkey AS trip_id, o_custkey % 8 AS service_id, CAST(o_orderdate AS DATE) AS service_date, o_custkey AS line_id,
+    SELECT o_orderkey AS trip_id, o_custkey % 8 AS service_id, DATE '2024-01-01' + CAST(o_orderkey % 28 AS INTEGER) AS service_date, o_custkey AS line_id,
            CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'G' WHEN '2' THEN 'D' WHEN '3' THEN 'C' ELSE 'other' END AS train_type
     FROM orders
 ),

@@ -34,10 +34,10 @@ def policy_reasons(t: Tables) -> DataFrame:
     return network.reasons(t.orders, cases).select("o_orderkey", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("SELECT user_id, CAST(count(DISTINCT event_type) AS INTEGER) AS n FROM events WHERE value > 20 GROUP BY user_id HAVING bool_and(event_type IN ('view', 'click', 'error'))")
+@query("SELECT user_id, CAST(count(DISTINCT event_type) AS INTEGER) AS n FROM events WHERE value > 120 GROUP BY user_id HAVING bool_and(event_type IN ('view', 'click', 'error'))")
 def hidden_identities(t: Tables) -> DataFrame:
     excluded = t.spark.createDataFrame([("view",), ("click",), ("error",)], "event_type string")
-    return network.hidden_identities(t.events.where("value > 20"), excluded, "user_id", "event_type")
+    return network.hidden_identities(t.events.where("value > 120"), excluded, "user_id", "event_type")
 
 
 @query("SELECT user_id, sha256(string_agg(DISTINCT event_type, ',' ORDER BY event_type)) AS fingerprint FROM events GROUP BY user_id")
@@ -50,7 +50,7 @@ WHERE c_nationkey <> s_nationkey GROUP BY ALL), s AS (SELECT * FROM o WHERE km >
 SELECT guest, host, km FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.guest = a.host AND b.host = a.guest)""")
 def one_sided_overlaps(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity").join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(t.customer.select("c_custkey", F.col("c_nationkey").alias("guest")), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("host"))), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = rows.join(t.customer.select("c_custkey", F.col("c_nationkey").alias("guest")), F.col("o_custkey") == F.col("c_custkey")).join(t.supplier.select("s_suppkey", F.col("s_nationkey").alias("host")), F.col("l_suppkey") == F.col("s_suppkey"))
     overlaps = joins.cut(rows.where("guest <> host").groupBy("guest", "host").agg(F.sum("l_quantity").alias("km")))
     return network.one_sided(overlaps, overlaps.agg(F.avg("km")).first()[0] or 0.0)
 
@@ -100,10 +100,10 @@ def packed_sections(t: Tables) -> DataFrame:
 
 
 @query(f""", n AS (SELECT p.*, 'n' || (point_id % 40) AS name FROM points p), d AS (SELECT a.point_id AS a, b.point_id AS b, {metres_sql('a', 'b')} AS m FROM n a JOIN n b ON a.name = b.name AND a.point_id < b.point_id)
-SELECT a, b, CASE WHEN m <= 6000 THEN 'same place' ELSE 'namesake' END AS finding FROM d WHERE m <= 20000""")
+SELECT a, b, CASE WHEN m <= 30000 THEN 'same place' ELSE 'namesake' END AS finding FROM d WHERE m <= 60000""")
 def station_provenance(t: Tables) -> DataFrame:
     rows = t.points().select(F.col("point_id").alias("id"), F.concat(F.lit("n"), (F.col("point_id") % 40).cast("string")).alias("name"), "lon", "lat")
-    return network.namesakes(joins.same_name_pairs(rows, 0.0, 20_000.0), 6_000.0).select("a", "b", "finding")
+    return network.namesakes(joins.same_name_pairs(rows, 0.0, 60_000.0), 30_000.0).select("a", "b", "finding")
 
 
 @query(_PATHS + """, c AS (SELECT line, seq, CAST(floor(lon * 1e5 + 5e-1) AS BIGINT) AS x, CAST(floor(lat * 1e5 + 5e-1) AS BIGINT) AS y FROM path),

@@ -36,11 +36,66 @@ def dedupe_stream(events: DataFrame, keys: list[str], within: str) -> DataFrame:
     return timed(events, within).dropDuplicatesWithinWatermark(keys)
 
 
-def ttl_first(events: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Batch twin of the rate limit: an event passes if no event of its keys came in the ``seconds`` before it."""
-    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
-    since = F.unix_micros(F.col("ts")) - F.unix_micros(F.lag("ts").over(w))
-    return timed(events).withColumn("since", since).where(F.col("since").isNull() | (F.col("since") > seconds * 1_000_000)).drop("since")
+class Limiter:
+    """Which requests of one asker pass: none within ``ttl`` seconds of the last that passed for the same thing, nor within ``gap`` of the
+    last that passed at all. State: (time of the last, {thing: time of its last}), in microseconds."""
+
+    def __init__(self, ttl: int, gap: int):
+        self.ttl, self.gap = ttl * 1_000_000, gap * 1_000_000
+
+    def passed(self, times: list[int], things: list[str], last: int | None, by_thing: dict[str, int]) -> tuple[list[bool], int | None]:
+        out = []
+        for at, thing in zip(times, things, strict=True):
+            before = by_thing.get(thing)
+            ok = (before is None or at - before >= self.ttl) and (last is None or at - last >= self.gap)
+            if ok:
+                by_thing[thing] = last = at
+            out.append(ok)
+        return out, last
+
+
+def accepted(events: DataFrame, by: list[str], thing: str, ttl: int, gap: int) -> DataFrame:
+    """Events that a cache of ``ttl`` seconds for each thing and a limit of one in ``gap`` seconds for each asker let pass.
+
+    What counts is the last event that passed, so one asker's events are read in order; they stream through, and only the times of the
+    last that passed are held.
+    """
+    rows = timed(events).withColumns({"l_key": F.to_json(F.struct(*by)), "l_us": F.unix_micros("ts"), "l_thing": F.coalesce(F.col(thing).cast("string"), F.lit(""))})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limiter, key, last, by_thing = Limiter(ttl, gap), None, None, {}
+        for pdf in batches:
+            keep = []
+            for k, part in pdf.groupby("l_key", sort=False):
+                if k != key:
+                    key, last, by_thing = k, None, {}
+                ok, last = limiter.passed(part["l_us"].tolist(), part["l_thing"].tolist(), last, by_thing)
+                keep.append(part[ok])
+            if keep:
+                yield pd.concat(keep)
+
+    passed = rows.repartition("l_key").sortWithinPartitions("l_key", "l_us", "event_id").mapInPandas(run, rows.schema)
+    return passed.drop("l_key", "l_us", "l_thing")
+
+
+def accepted_stream(events: DataFrame, late: str, ttl: int, gap: int) -> DataFrame:
+    """user_id, event_id, event_type of the events that pass, micro-batch by micro-batch (see ``accepted``; keyed state, times out)."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, things, times = state.get if state.exists else (-1, [], [])
+        by_thing, limiter = dict(zip(things, times, strict=True)), Limiter(ttl, gap)
+        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        at = pdf["ts"].astype("datetime64[us, UTC]" if pdf["ts"].dt.tz is not None else "datetime64[us]").astype("int64").tolist()
+        ok, last = limiter.passed(at, pdf["event_type"].tolist(), None if last < 0 else last, by_thing)
+        state.update((-1 if last is None else last, list(by_thing), list(by_thing.values())))
+        state.setTimeoutTimestamp(max((last or 0) // 1000 + 1000 * max(ttl, gap), state.getCurrentWatermarkMs() + 1))
+        yield pdf.loc[ok, ["user_id", "event_id", "event_type"]]
+
+    rows = timed(events, late).select("user_id", "event_id", "event_type", "ts")
+    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, event_type string", "last long, things array<string>, times array<long>", "append", "EventTimeTimeout")
 
 
 def late_rows(events: DataFrame, order: str, seconds: int) -> DataFrame:
@@ -74,4 +129,4 @@ def last_positions(events: DataFrame, late: str) -> DataFrame:
 
 def stream_static_positions(events: DataFrame, places: DataFrame, key: str) -> DataFrame:
     """Events of a stream with the attributes of a small dimension."""
-    return timed(events).join(F.broadcast(places), key, "left")
+    return timed(events).join(places, key, "left")

@@ -120,8 +120,9 @@ def test_graph(spark):
 
 def test_lines(spark):
     assert lines.stitch([[(0, 0), (1, 0)], [(1.00001, 0), (2, 0)]], 5) == [[(0, 0), (1, 0), (1.00001, 0), (2, 0)]]
-    assert [round(a) for a, _ in lines.project_stops([(0, 0), (0.5, 0), (1, 0)], [(0, 0), (1, 0)])] == [0, 55660, 111320]
-    assert lines.project_stops([(1, 0), (0, 0)], [(0, 0), (1, 0)]) is None
+    assert [round(a) for a, _ in lines.project_stops([(0, 0), (0.5, 0), (1, 0)], [(0, 0), (1, 0)])[0]] == [0, 55660, 111320]
+    assert lines.project_stops([(1, 0), (0, 0)], [(0, 0), (1, 0)]) == (None, lines.NO_ORDER)
+    assert lines.project_stops([(0, 0), (0.5, 0.5)], [(0, 0), (1, 0)]) == (None, lines.TOO_FAR)
     kept = lines.one_track([[(0, 0), (0.02, 0)], [(0, 0.0001), (0.01, 0.0001), (0.01, 0.01)]], 30)
     assert len(kept) == 2 and min(y for _, y in kept[1]) > 0.0002
     points = spark.createDataFrame([(1, 1, 0.0, 0.0), (1, 2, 0.001, 0.0)], "line long, seq long, lon double, lat double")
