@@ -231,6 +231,30 @@ def _sentence(rng: random.Random) -> tuple[str, set[Span]]:
     return text + rng.choice(["", ".", " " + word() + "."]), spans
 
 
+Scored = tuple[int, int, str, list[str], float]
+
+
+def scored(cands: dict[tuple[int, int], list[str]], w: Weights) -> list[Scored]:
+    """Every candidate segment with every kind: first, last + 1, kind, features, score."""
+    return [(i, j, k, f, _score(w, k, f)) for (i, j), f in cands.items() for k in KINDS]
+
+
+def marginals(n: int, segments: list[Scored]) -> tuple[list[float], float]:
+    """The probability of each segment over all segmentations of n tokens, and the log of the sum of their weights (forward-backward)."""
+    ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
+    ending: dict[int, list[Scored]] = {}
+    starting: dict[int, list[Scored]] = {}
+    for x in segments:
+        ending.setdefault(x[1], []).append(x)
+        starting.setdefault(x[0], []).append(x)
+    add = lambda terms: (m := max(terms)) + math.log(sum(math.exp(t - m) for t in terms))
+    for j in range(1, n + 1):
+        ahead[j] = add([ahead[j - 1], *(ahead[x[0]] + x[4] for x in ending.get(j, ()))])
+    for i in range(n - 1, -1, -1):
+        behind[i] = add([behind[i + 1], *(x[4] + behind[x[1]] for x in starting.get(i, ()))])
+    return [math.exp(ahead[i] + s + behind[j] - ahead[n]) for i, j, _, _, s in segments], ahead[n]
+
+
 @lru_cache(maxsize=1)
 def trained(sentences: int = 500, epochs: int = 8, seed: int = 11) -> tuple[tuple[tuple[str, str], float], ...]:
     """Weights that maximise the conditional likelihood of the generated segmentations (stochastic gradient steps)."""
@@ -246,20 +270,9 @@ def trained(sentences: int = 500, epochs: int = 8, seed: int = 11) -> tuple[tupl
     for epoch in range(epochs):
         rate = 0.5 / (1 + epoch)
         for n, cands, gold in data:
-            scored = [(i, j, k, f, _score(w, k, f)) for (i, j), f in cands.items() for k in KINDS]
-            ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
-            ending: dict[int, list] = {}
-            starting: dict[int, list] = {}
-            for x in scored:
-                ending.setdefault(x[1], []).append(x)
-                starting.setdefault(x[0], []).append(x)
-            add = lambda terms: (m := max(terms)) + math.log(sum(math.exp(t - m) for t in terms))
-            for j in range(1, n + 1):
-                ahead[j] = add([ahead[j - 1], *(ahead[x[0]] + x[4] for x in ending.get(j, ()))])
-            for i in range(n - 1, -1, -1):
-                behind[i] = add([behind[i + 1], *(x[4] + behind[x[1]] for x in starting.get(i, ()))])
-            for i, j, k, f, s in scored:
-                gradient = (gold.get((i, j)) == k) - math.exp(ahead[i] + s + behind[j] - ahead[n])
+            segments = scored(cands, w)
+            for (i, j, k, f, _), p in zip(segments, marginals(n, segments)[0], strict=True):
+                gradient = (gold.get((i, j)) == k) - p
                 if abs(gradient) > 1e-6:
                     for name in ("bias", *f):
                         w[k, name] = w.get((k, name), 0.0) * (1 - 1e-4 * rate) + rate * gradient

@@ -8,7 +8,8 @@ short arrays. Scoring is a narrow pass over whole texts.
 Labels of rows in the held-out fold (crc32 of the id as text, mod 3 = 1) are never read for training. SAMPLE bounds the labelled rows
 that are fitted (those with the smallest hashes of their ids); everything else covers all documents.
 
-Defined results: null and empty texts get the model's bias; rows with a null label aren't trained on; repeated rows score alike; an
+Defined results: null and empty texts get the model's bias; rows with a null label aren't trained on; of several labels of an id the larger
+counts, and of several texts the least; repeated rows score alike; an
 empty label table gives the score 0.5 to all; an empty table gives no rows; other columns are ignored.
 """
 
@@ -100,9 +101,10 @@ def fold(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 1))
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one row for each id, so that the sample's bound holds
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = StemHash()
