@@ -21,7 +21,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +41,9 @@ class WordEncoder:
     tokenizer whole.
     """
 
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    #: The letters and digits that texts of these signs hold once they are in lower case.
+    LETTERS, DIGITS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af\u2c65\u2c66", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+    PATTERN = re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
     OTHER = re.compile(r"[^\t\n\r -~\xa0-\u024f\u2010-\u2027]|<\|")
 
     def __init__(self, path: str, max_entries: int = 1_000_000):

@@ -97,9 +97,8 @@ def n_repeat_words_of(words: Column, windows: Column) -> Column:
 REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def figures(text: Column, words: Column) -> dict[str, Column]:
+def figures(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     """The figures of a text by name, as expressions."""
-    lines = lines_of(text)
     return {
         "n_words": n_words_of(words),
         "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
@@ -170,14 +169,15 @@ def cascade(todo: list[Rule], names: list[str]) -> Column:
 
 def production(docs: DataFrame) -> tuple[list[Rule], list[str]]:
     """The rules over q_text and q_words, and their measured order."""
-    todo = rules(figures(F.col("q_text"), F.col("q_words")))
+    todo = rules(figures(F.col("q_text"), F.col("q_words"), lines_of(F.col("q_text"))))
     return todo, order(docs, todo)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``, the base figures, base_failed and kept."""
     names = production(docs)[1]
-    df = _split(docs).select("row", *[c.alias(f"f_{name}") for name, c in figures(F.col("q_text"), F.col("q_words")).items()])
+    df = _split(docs).withColumn("q_lines", lines_of(F.col("q_text")))
+    df = df.select("row", *[c.alias(f"f_{name}") for name, c in figures(F.col("q_text"), F.col("q_words"), F.col("q_lines")).items()])
     found = {name[2:]: F.col(name) for name in df.columns if name != "row"}
     out = {c: F.col("row").getField(c) for c in docs.columns} | {name: found[name] for name in REPORTED}
     out |= {"base_failed": base_failed(found), "kept": ~base_failed(found) & cascade(rules(found), names)}

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillon.llm import chat, packing, quality
@@ -68,6 +69,17 @@ def test_step_groups_are_balanced(spark):
     assert packing.balanced([9, 1, 8, 2, 7, 3], 3) == [0, 0, 1, 1, 2, 2] and packing.balanced([], 0) == []
 
 
+def test_words_are_those_of_the_tokenizer():
+    """On every sign that the word pattern is used for, alone and in mixed strings, it finds what the tokenizer's own does."""
+    own = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    signs = [c for c in map(chr, range(0x2100)) if not packing.WordEncoder.OTHER.search(c)]
+    assert len(signs) > 500 and all(own.findall(c.lower()) == packing.WordEncoder.PATTERN.findall(c.lower()) for c in signs)
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) if rng.random() < 0.5 else rng.choice("'strevmld 7") for _ in range(rng.randint(1, 12))).lower()
+        assert own.findall(text) == packing.WordEncoder.PATTERN.findall(text)
+
+
 def test_pack_of_repeated_rows(spark):
     docs = made(spark, ["a b c", "d e"])
     rows = packing.pack(docs.union(docs).coalesce(1), tokenizer_path()).collect()
