@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import conform, drawn, graph, timetable
+from quillon.operators import conform, drawn, graph, matching, timetable
 from quillon.operators.lines import cumulative
-from quillon.plans.catalog import _T, _instant, query, whole
-from quillon.plans.fixtures import Tables, metres_sql
+from quillon.plans.catalog import _EDGES, _T, _edges, _instant, query, whole
+from quillon.plans.fixtures import VIEWS, Tables, metres_sql
 
 
 def _text(c) -> F.Column:
@@ -307,10 +307,10 @@ def stale_snapshots(t: Tables) -> DataFrame:
 # --- network ----------------------------------------------------------------------------------------------------------
 
 
-@query(""", p AS (SELECT trip_id AS line, seq, stop_id AS node, min(seq) OVER (PARTITION BY trip_id) AS f, max(seq) OVER (PARTITION BY trip_id) AS l FROM trip_stop WHERE trip_id % 9 = 1),
+@query(""", p AS (SELECT trip_id AS line, seq, stop_id * 1000 + trip_id % 97 AS node, min(seq) OVER (PARTITION BY trip_id) AS f, max(seq) OVER (PARTITION BY trip_id) AS l FROM trip_stop),
 c AS (SELECT node, count(*) FILTER (WHERE seq IN (f, l)) AS ends, count(*) FILTER (WHERE seq NOT IN (f, l)) AS inn FROM p WHERE f < l GROUP BY node) SELECT node FROM c WHERE ends >= 3 OR inn >= 2 OR (inn >= 1 AND ends >= 1)""")
 def branchings(t: Tables) -> DataFrame:
-    return graph.branchings(t.trip_stop().where("trip_id % 9 = 1").select(F.col("trip_id").alias("line"), "seq", F.col("stop_id").alias("node")))
+    return graph.branchings(t.trip_stop().select(F.col("trip_id").alias("line"), "seq", (F.col("stop_id") * 1000 + F.col("trip_id") % 97).alias("node")))
 
 
 @query("""SELECT trip_id % 50 AS line, CASE WHEN trip_id % 50 % 2 = 0 THEN stop_id || '@' || trip_id % 50 ELSE CAST(stop_id AS VARCHAR) END AS graph_node, count(*) AS n FROM trip_stop GROUP BY ALL""")
@@ -393,3 +393,32 @@ def source_coverage(t: Tables) -> DataFrame:
 def identity_inputs(t: Tables) -> DataFrame:
     state = F.when(F.col("o_totalprice").isNull(), "missing").when(F.col("o_orderstatus") == "F", "native").when(F.col("o_totalprice") > 200_000, "changed").otherwise("reviewed")
     return drawn.input_states(t.orders.select(F.col("o_custkey").alias("identity"), state.alias("state")))
+
+
+# --- ways and matching ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {VIEWS}{_EDGES}, s AS (SELECT DISTINCT a AS id FROM sym),
+walk(id, node, cost) AS (SELECT id, id, CAST(0 AS BIGINT) FROM s UNION SELECT w.id, e.b, w.cost + e.metres FROM walk w JOIN sym e ON e.a = w.node WHERE w.cost + e.metres <= 26000),
+g AS (SELECT id, CASE WHEN node % 2 = 0 THEN 500 ELSE 0 END + min(cost) AS cost FROM walk WHERE node <> id AND node % 5 = 1 AND abs(node - id) <= 60 GROUP BY id, node)
+SELECT id, CAST(min(cost) AS BIGINT) AS cost FROM g WHERE cost <= 26000 GROUP BY id""")
+def route_pairs(t: Tables) -> DataFrame:
+    edges = _edges(t).select("u", "v", F.col("metres").cast("double").alias("w"))
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    starts = nodes.select(F.col("node").alias("id"), "node", F.lit(0.0).alias("cost"), F.lit(26_000.0).alias("most"))
+    ends = nodes.where("node % 5 = 1").select("node", F.when(F.col("node") % 2 == 0, 500.0).otherwise(0.0).alias("extra"))
+    near = F.explode(F.sequence(F.col("id") - 60, F.col("id") + 60)).alias("node")
+    goals = starts.select("id", near).join(ends, "node").where("id <> node")
+    return matching.routes(edges, starts, goals).select("id", F.col("cost").cast("long").alias("cost"))
+
+
+@query()
+def fitted_paths(t: Tables) -> DataFrame:
+    pieces = t.track().where("v - u < 12")
+    at = lambda k, p: t.stop().select(F.col("stop_id").alias(k), F.col("lon").alias(f"{p}_lon"), F.col("lat").alias(f"{p}_lat"))
+    segments = pieces.join(at("u", "a"), "u").join(at("v", "b"), "v").withColumn("seg", F.monotonically_increasing_id())
+    paths = pieces.join(at("u", "a"), "u").join(at("v", "b"), "v").withColumn("line", F.xxhash64("u", "v"))
+    mid = F.struct(((F.col("a_lon") + F.col("b_lon")) / 2 + 0.004).alias("lon"), ((F.col("a_lat") + F.col("b_lat")) / 2).alias("lat"))
+    points = F.array(F.struct(F.col("a_lon").alias("lon"), F.col("a_lat").alias("lat")), mid, F.struct(F.col("b_lon").alias("lon"), F.col("b_lat").alias("lat")))
+    paths = paths.select("line", F.posexplode(points).alias("seq", "p")).select("line", F.col("seq").cast("long").alias("seq"), "p.lon", "p.lat")
+    return matching.matched(paths, segments, 22.0)[0]
