@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -287,10 +288,18 @@ def duplicate_rows(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.sha2("text", 256).alias("text_sha")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query("""SELECT 'c_nationkey' AS "column", count(*) AS n, CAST(sum(CASE WHEN c_nationkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, count(DISTINCT c_nationkey) AS distinct_values FROM customer
-UNION ALL SELECT 'c_mktsegment', count(*), CAST(sum(CASE WHEN c_mktsegment IS NULL THEN 1 ELSE 0 END) AS BIGINT), count(DISTINCT c_mktsegment) FROM customer""")
+#: Columns of the tables by name, for reports over all of them.
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "events": "event_id ts user_id event_type value props",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS distinct_values FROM {t}""" for t, cs in COLUMNS.items() for c in cs.split()))
 def quality_summary(t: Tables) -> DataFrame:
-    return quality.summary(t.customer.select("c_nationkey", "c_mktsegment"))
+    parts = [quality.summary(getattr(t, name).select(*columns.split())).withColumn("table", F.lit(name)) for name, columns in COLUMNS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("""SELECT l_suppkey AS line, CAST(floor(quantile_cont(l_quantity, 0.999) * 1e4 + 5e-1) AS BIGINT) AS p999_e4, max(l_quantity) AS most FROM lineitem GROUP BY l_suppkey""")
@@ -521,12 +530,11 @@ def stitched_lines(t: Tables) -> DataFrame:
     return lines.stitched(parts, 6_000.0).select("line", "part", F.size("path").alias("n"))
 
 
-@query(_PATHS + "SELECT line, CAST(sum(CASE WHEN lon > 101 AND lon < 103 AND lat > 20.5e0 AND lat < 22 THEN 1 ELSE 0 END) AS BIGINT) AS inside FROM path GROUP BY line")
+@query(_PATHS + "SELECT line, CAST(sum(CASE WHEN lon > 101.01e0 AND lon < 103.01e0 AND lat > 20.51e0 AND lat < 22.01e0 THEN 1 ELSE 0 END) AS BIGINT) AS inside FROM path GROUP BY line")
 def inside_territory(t: Tables) -> DataFrame:
-    ring = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((101.0, 20.5), (103.0, 20.5), (103.0, 22.0), (101.0, 22.0))])
-    rows = _paths(t).where("lon <> 101 AND lat <> 20.5 AND lon <> 103 AND lat <> 22")
-    inside = rows.withColumn("inside", geo.in_ring(F.col("lon"), F.col("lat"), ring).cast("long"))
-    return _paths(t).select("line").distinct().join(inside.groupBy("line").agg(F.sum("inside").alias("inside")), "line", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    ring = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((101.01, 20.51), (103.01, 20.51), (103.01, 22.01), (101.01, 22.01))])
+    inside = _paths(t).withColumn("inside", geo.in_ring(F.col("lon"), F.col("lat"), ring).cast("long"))
+    return inside.groupBy("line").agg(F.sum("inside").alias("inside"))
 
 
 # --- quality, search, sets --------------------------------------------------------------------------------------------
