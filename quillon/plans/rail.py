@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import conform, drawn, graph, matching, timetable
+from quillon.functions import geo, scalars
+from quillon.operators import aggregates, conform, drawn, graph, matching, timetable
 from quillon.operators.lines import cumulative
 from quillon.plans.catalog import _EDGES, _T, _edges, _instant, query, whole
 from quillon.plans.fixtures import VIEWS, Tables, metres_sql
@@ -422,3 +423,86 @@ def fitted_paths(t: Tables) -> DataFrame:
     points = F.array(F.struct(F.col("a_lon").alias("lon"), F.col("a_lat").alias("lat")), mid, F.struct(F.col("b_lon").alias("lon"), F.col("b_lat").alias("lat")))
     paths = paths.select("line", F.posexplode(points).alias("seq", "p")).select("line", F.col("seq").cast("long").alias("seq"), "p.lon", "p.lat")
     return matching.matched(paths, segments, 22.0)[0]
+
+
+# --- coordinates, tags and colours ------------------------------------------------------------------------------------
+
+
+@query(""", m AS (SELECT point_id, 6378137e0 * radians(lon) AS x, 6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y, lon, lat FROM points)
+SELECT point_id, CAST(floor(x * 10 + 5e-1) AS BIGINT) AS x_dm, CAST(floor(y * 10 + 5e-1) AS BIGINT) AS y_dm, CAST(floor(lon * 1e6 + 5e-1) AS BIGINT) AS lon_e6, CAST(floor(lat * 1e6 + 5e-1) AS BIGINT) AS lat_e6 FROM m""")
+def mercator_points(t: Tables) -> DataFrame:
+    x, y = geo.mercator(F.col("lon"), F.col("lat"))
+    rows = t.points().withColumns({"x": x, "y": y})
+    lon, lat = geo.from_mercator(F.col("x"), F.col("y"))
+    return rows.select("point_id", whole(F.col("x") * 10).alias("x_dm"), whole(F.col("y") * 10).alias("y_dm"), whole(F.round(lon, 9) * 1e6).alias("lon_e6"), whole(F.round(lat, 9) * 1e6).alias("lat_e6"))
+
+
+_PAIRS = """, pr AS (SELECT a.point_id AS id, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2 FROM points a JOIN points b ON b.point_id = a.point_id + CASE WHEN a.point_id % 10 = 0 THEN 0 ELSE 1 END)"""
+
+
+def _pairs(t: Tables) -> DataFrame:
+    a = t.points().select(F.col("point_id").alias("id"), F.col("lon").alias("x1"), F.col("lat").alias("y1"), (F.col("point_id") + F.when(F.col("point_id") % 10 == 0, 0).otherwise(1)).alias("other"))
+    return a.join(t.points().select(F.col("point_id").alias("other"), F.col("lon").alias("x2"), F.col("lat").alias("y2")), "other").drop("other")
+
+
+@query(_PAIRS + """ SELECT id, CAST(floor(11132e-2 * sqrt(pow((x2 - x1) * cos(radians((y1 + y2) / 2)), 2) + pow(y2 - y1, 2)) * 1000 + 5e-1) AS BIGINT) AS metres,
+CAST(CASE WHEN x1 <> x2 OR y1 <> y2 THEN floor((degrees(atan2(sin(radians(x2 - x1)) * cos(radians(y2)), cos(radians(y1)) * sin(radians(y2)) - sin(radians(y1)) * cos(radians(y2)) * cos(radians(x2 - x1)))) + CASE WHEN x2 < x1 THEN 360 ELSE 0 END) * 1000 + 5e-1) ELSE -1 END AS BIGINT) AS heading FROM pr""")
+def flat_legs(t: Tables) -> DataFrame:
+    at = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    return _pairs(t).select("id", whole(geo.flat_km(*at) * 1000).alias("metres"), whole(F.coalesce(geo.bearing(*at) * 1000, F.lit(-1.0))).alias("heading"))
+
+
+@query("SELECT point_id, CAST(floor((lon + 180) * 1e6 + 5e-1) AS BIGINT) * 1000000000 + CAST(floor((lat + 90) * 1e6 + 5e-1) AS BIGINT) AS key FROM points")
+def packed_points(t: Tables) -> DataFrame:
+    return t.points().select("point_id", geo.point_key(F.col("lon"), F.col("lat")).alias("key"))
+
+
+@query(""", p AS (SELECT point_id, lon, lat, lon - 105 AS x, lat - 35 AS y, 1 - 669342162296594323e-20 * pow(sin(radians(lat)), 2) AS mg FROM points),
+q AS (SELECT *, (20 * sin(6 * x * pi()) + 20 * sin(2 * x * pi())) * 2 / 3e0 AS rp FROM p),
+r AS (SELECT *, -100 + 2 * x + 3 * y + 2e-1 * y * y + 1e-1 * x * y + 2e-1 * sqrt(abs(x)) + rp + (20 * sin(y * pi()) + 40 * sin(y / 3 * pi())) * 2 / 3e0 + (160 * sin(y / 12 * pi()) + 320 * sin(y * pi() / 30)) * 2 / 3e0 AS a,
+300 + x + 2 * y + 1e-1 * x * x + 1e-1 * x * y + 1e-1 * sqrt(abs(x)) + rp + (20 * sin(x * pi()) + 40 * sin(x / 3 * pi())) * 2 / 3e0 + (150 * sin(x / 12 * pi()) + 300 * sin(x / 30 * pi())) * 2 / 3e0 AS b FROM q)
+SELECT point_id, CAST(floor((lon + b * 180 / (6378245e0 / sqrt(mg) * cos(radians(lat)) * pi())) * 1e7 + 5e-1) AS BIGINT) AS lon_e7, CAST(floor((lat + a * 180 / (6378245e0 * (1 - 669342162296594323e-20) / (mg * sqrt(mg)) * pi())) * 1e7 + 5e-1) AS BIGINT) AS lat_e7, true AS returns FROM r""")
+def shifted_points(t: Tables) -> DataFrame:
+    x, y = geo.shifted(F.col("lon"), F.col("lat"))
+    rows = t.points().withColumns({"x": x, "y": y})
+    lon, lat = geo.unshifted(F.col("x"), F.col("y"))
+    near = (F.abs(lon - F.col("lon")) < 1e-6) & (F.abs(lat - F.col("lat")) < 1e-6)
+    return rows.select("point_id", whole(F.col("x") * 1e7).alias("lon_e7"), whole(F.col("y") * 1e7).alias("lat_e7"), near.alias("returns"))
+
+
+@query("""SELECT p_partkey, 'brand=' || p_brand || CASE WHEN p_size % 3 > 0 THEN ',size=' || p_size ELSE '' END AS tags, CASE p_size % 4 WHEN 0 THEN '#' || lpad(to_hex(p_size), 2, '0') || lpad(to_hex(p_size), 2, '0') || 'ff' WHEN 1 THEN '#aabbcc' WHEN 2 THEN '#0f0f0f' END AS colour,
+CASE p_size % 4 WHEN 0 THEN CAST(floor((255 + p_size) / 51e-2 + 5e-1) AS BIGINT) WHEN 1 THEN 733 WHEN 2 THEN 59 END AS light FROM (SELECT p_partkey, p_brand, p_size FROM part)""".replace("to_hex(p_size)", "lower(to_hex(p_size))").replace("THEN 733", "THEN CAST(floor((204 + 170) / 51e-2 + 5e-1) AS BIGINT)").replace("THEN 59", "THEN CAST(floor(30 / 51e-2 + 5e-1) AS BIGINT)"))
+def tags_and_colours(t: Tables) -> DataFrame:
+    s = F.col("p_size")
+    tags = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.when(s % 3 > 0, _text("p_size")), F.lit("note"), F.lit("x"))
+    kept = scalars.keep_tags(tags, ["brand", "size"])
+    two = F.lower(F.lpad(F.hex(s.cast("long")), 2, "0"))
+    raw = F.when(s % 4 == 0, F.concat(F.lit("#"), two, two, F.lit("FF"))).when(s % 4 == 1, "abc").when(s % 4 == 2, "#0F0F0F").otherwise("green?")
+    colour = scalars.colour(raw)
+    joined = F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return t.part.select("p_partkey", joined.alias("tags"), colour.alias("colour"), whole(scalars.lightness(colour) * 1000).alias("light"))
+
+
+@query(""", r AS (SELECT trip_id AS line, seq, round(lon * 2) AS x, round(lat * 2) AS y FROM trip_stop JOIN stop USING (stop_id)),
+k AS (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py FROM r WINDOW o AS (PARTITION BY line ORDER BY seq))
+SELECT line, string_agg(CAST(x AS INTEGER) || '/' || CAST(y AS INTEGER), ' ' ORDER BY seq) AS path FROM k WHERE px IS NULL OR px <> x OR py <> y GROUP BY line""")
+def rounded_paths(t: Tables) -> DataFrame:
+    at = F.struct("seq", F.concat_ws("/", F.round(F.col("lon") * 2).cast("int").cast("string"), F.round(F.col("lat") * 2).cast("int").cast("string")).alias("p"))
+    rows = t.trip_stop().join(t.stop(), "stop_id").groupBy(F.col("trip_id").alias("line")).agg(F.transform(F.array_sort(F.collect_list(at)), lambda x: x["p"]).alias("p"))
+    return rows.select("line", F.array_join(scalars.drop_repeats(F.col("p")), " ").alias("path"))
+
+
+@query("SELECT n_regionkey AS key, min(r_name) AS value FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey")
+def uniform_values(t: Tables) -> DataFrame:
+    return aggregates.uniform(t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_regionkey").alias("key"), F.col("r_name").alias("value")), "key", "value")
+
+
+@query(_DRAWN + """SELECT piece, CAST(floor(sum(l) + 5e-1) AS BIGINT) AS inside FROM (SELECT piece, greatest(0e0, least(hi, 1e0) - greatest(lo, 0e0)) * m AS l FROM (SELECT lp.piece, sm.spacing * 10 AS m,
+    greatest(CASE WHEN b_lon = a_lon THEN CASE WHEN a_lon BETWEEN 101.01e0 AND 103.01e0 THEN 0e0 ELSE 2e0 END ELSE least((101.01e0 - a_lon) / (b_lon - a_lon), (103.01e0 - a_lon) / (b_lon - a_lon)) END, CASE WHEN b_lat = a_lat THEN CASE WHEN a_lat BETWEEN 20.51e0 AND 22.01e0 THEN 0e0 ELSE 2e0 END ELSE least((20.51e0 - a_lat) / (b_lat - a_lat), (22.01e0 - a_lat) / (b_lat - a_lat)) END) AS lo,
+    least(CASE WHEN b_lon = a_lon THEN 1e0 ELSE greatest((101.01e0 - a_lon) / (b_lon - a_lon), (103.01e0 - a_lon) / (b_lon - a_lon)) END, CASE WHEN b_lat = a_lat THEN 1e0 ELSE greatest((20.51e0 - a_lat) / (b_lat - a_lat), (22.01e0 - a_lat) / (b_lat - a_lat)) END) AS hi
+    FROM lp JOIN sm ON sm.piece = lp.piece AND sm.k = 0)) GROUP BY piece HAVING sum(l) > 5e-1""")
+def clipped_pieces(t: Tables) -> DataFrame:
+    ring = F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in ((101.01, 20.51), (103.01, 20.51), (103.01, 22.01), (101.01, 22.01))])
+    parts = drawn.split_by_ring(_pieces(t), ring).where("inside")
+    metres = geo.haversine(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat")) * (F.col("high") - F.col("low"))
+    return parts.groupBy("piece").agg(F.sum(metres).alias("m")).where("m > 0.5").select("piece", whole(F.col("m")).alias("inside"))
