@@ -30,3 +30,20 @@ def coded_paths(points: DataFrame) -> DataFrame:
     rows = rows.withColumns({"dx": F.col("x") - F.coalesce(F.lag("x").over(w), F.lit(0)), "dy": F.col("y") - F.coalesce(F.lag("y").over(w), F.lit(0))})
     codes = F.array_sort(F.collect_list(F.struct("seq", "dx", "dy")))
     return rows.groupBy("line").agg(F.flatten(F.transform(codes, lambda c: F.array(c["dx"], c["dy"]))).alias("codes"))
+
+
+def refresh_section(df: DataFrame, path: str, by: str = "section") -> None:
+    """Write the sections that ``df`` has and leave the others of the table as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def columnar(df: DataFrame, order: list[str], always: list[str], optional: list[str]) -> DataFrame:
+    """One row with an array for each column, all in the same order; optional columns only if some row has a value there.
+
+    It is a small file that a page reads whole, so all its rows are gathered in one.
+    """
+    row = F.struct(*order, *[F.col(c).alias(f"c_{c}") for c in always + optional])
+    one = df.agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    counts = df.agg(*[F.count(c).alias(c) for c in optional]).first() if optional else {}
+    kept = always + [c for c in optional if counts[c]]
+    return one.select(*[F.col("rows").getField(f"c_{c}").alias(c) for c in kept])
