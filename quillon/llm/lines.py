@@ -8,8 +8,8 @@ give every token one sortable number, so no shuffle is needed to order a line's
 2. a line of n tokens posts the rarest n - ceil(NUM * n / DEN) + 1 of them (prefix filter); similar lines share one of these. Where
    a token of the prefix is common (its bucket counts more than COMMON words), the line posts it with each later token of a prefix one
    longer instead: similar lines share two tokens of that, so lists stay short however large the corpus is;
-3. keys that look frequent on a share of the lines get a lead, the earliest line there, and every line is held against the leads of its
-   keys first: near copies of one line go here, without meeting each other pair by pair;
+3. keys that look frequent on a share of the lines get some leads, early lines there, and every line is held against the leads of its
+   keys first: most near copies of one line go here, without meeting each other pair by pair;
 4. a self-join of the postings gives the other candidates of the lines left, under length and positional filters and a bound from parity
    maps of the sets; the longest lists are dealt over several tasks;
 5. candidates are verified on the full token sets.
@@ -27,7 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, materialize, maybe_broadcast
@@ -37,9 +37,9 @@ NUM, DEN = 4, 5
 RANKS = 1 << 20
 #: A token is common from this number of words in its bucket on.
 COMMON = 2048
-#: One of SHARE lines tells which keys are frequent, and leads them; leads are for keys with LED lines or more (by that share), the most
-#: frequent LEADS of them, and KEYS of those that one line leads; lists of DEALT lines or more are dealt over tasks.
-SHARE, LED, LEADS, KEYS, DEALT = 8, 128, 1 << 18, 3, 8192
+#: One of SHARE lines tells which keys are frequent, and leads them: keys with LED lines or more (by that share), the most frequent KEYS
+#: of them, have LEADS leads each, the earliest of as many classes; lists of DEALT lines or more are dealt over tasks.
+SHARE, LED, KEYS, LEADS, DEALT = 8, 512, 1 << 13, 32, 8192
 #: Lines of this many tokens and more have their parity map in two halves.
 WIDE = 72
 _TAIL = 56  # bits of a token's hash below its rank
@@ -216,10 +216,11 @@ def survivors(docs: DataFrame, repeats: bool, ranks: Column) -> DataFrame:
     firsts = materialize(classes(docs, ranks), "lines")
     posting = firsts.where("size(prefix) > 0")
     some = posting.where(F.pmod(F.xxhash64("doc", "line"), F.lit(SHARE)) == 0)
-    keys = postings(some).groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct(*_POSTED)).alias("lead")).where(F.col("count") >= max(1, LED // SHARE))
-    keys = materialize(keys.orderBy(F.desc("count"), "key").limit(LEADS).select("key", "count", "lead.*"), "leads")
-    one = Window.partitionBy("doc", "line").orderBy("key")  # a line that leads many lists of the same lines need lead only a few
-    leads = keys.withColumn("turn", F.row_number().over(one)).where(F.col("turn") <= KEYS).drop("turn")
+    keys = postings(some).groupBy("key").count().where(F.col("count") >= max(1, LED // SHARE))
+    keys = materialize(keys.orderBy(F.desc("count"), "key").limit(KEYS), "keys")
+    frequent = postings(some).join(F.broadcast(keys.select("key")), "key").withColumn("class", F.pmod(F.xxhash64("line", "doc"), F.lit(LEADS)))
+    leads = frequent.groupBy("key", "class").agg(F.min(F.struct(*_POSTED)).alias("lead")).select("key", "lead.*")
+    leads = materialize(leads, "leads")
     gone = _verified(docs, materialize(_led(leads, postings(posting)), "pairs1"), "gone1", repeats)
 
     sign = F.when(F.col("r_line").isNotNull(), -F.col("n")).otherwise(F.col("n")).alias("n")
