@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import geo, scalars
-from quillon.operators import aggregates, conform, drawn, graph, matching, timetable
+from quillon.operators import aggregates, conform, drawn, graph, matching, timetable, ways
 from quillon.operators.lines import cumulative
 from quillon.plans.catalog import _EDGES, _T, _edges, _instant, query, whole
 from quillon.plans.fixtures import VIEWS, Tables, metres_sql
@@ -506,3 +506,57 @@ def clipped_pieces(t: Tables) -> DataFrame:
     parts = drawn.split_by_ring(_pieces(t), ring).where("inside")
     metres = geo.haversine(F.col("a_lon"), F.col("a_lat"), F.col("b_lon"), F.col("b_lat")) * (F.col("high") - F.col("low"))
     return parts.groupBy("piece").agg(F.sum(metres).alias("m")).where("m > 0.5").select("piece", whole(F.col("m")).alias("inside"))
+
+
+# --- tracks and their lines -------------------------------------------------------------------------------------------
+
+_TRACKED = ", pp AS (SELECT trip_id AS line, seq, stop_id * 1000 + trip_id % 97 AS node FROM trip_stop)"
+
+
+@query(_TRACKED + """, lh AS (SELECT *, min(seq) OVER (PARTITION BY line) AS lo, max(seq) OVER (PARTITION BY line) AS hi FROM pp),
+cu AS (SELECT node FROM lh GROUP BY node HAVING count(DISTINCT line) >= 2 OR bool_or(seq = lo OR seq = hi)),
+c AS (SELECT line, seq, node, row_number() OVER o AS piece, lead(seq) OVER o AS n_seq, lead(node) OVER o AS n_node FROM lh WHERE node IN (SELECT node FROM cu) WINDOW o AS (PARTITION BY line ORDER BY seq))
+SELECT line, piece, node AS a, n_node AS b, seq AS first, n_seq AS last FROM c WHERE n_seq IS NOT NULL AND node <> n_node""")
+def junction_pieces(t: Tables) -> DataFrame:
+    rows = t.trip_stop().select(F.col("trip_id").alias("line"), "seq", (F.col("stop_id") * 1000 + F.col("trip_id") % 97).alias("node"))
+    return ways.split_at_junctions(rows).withColumn("piece", F.col("piece").cast("long"))
+
+
+@query("""SELECT l_orderkey AS u, l_linenumber AS v, CAST(floor(sum(l_quantity * 100 / 1000 / CASE l_suppkey % 4 WHEN 0 THEN 300e0 WHEN 1 THEN 100e0 WHEN 2 THEN 36e0 ELSE 45e-1 END * 60) * 1e6 + 5e-1) AS BIGINT) AS micro_minutes FROM lineitem GROUP BY ALL""")
+def running_minutes(t: Tables) -> DataFrame:
+    k = F.col("l_suppkey") % 4
+    kind = F.when(k == 0, "hsr350").when(k == 1, "main").when(k == 2, "metro").otherwise("w")
+    rows = t.lineitem.select(F.col("l_orderkey").alias("u"), F.col("l_linenumber").alias("v"), ways.minutes(F.col("l_quantity") * 100, kind).alias("m"))
+    return rows.groupBy("u", "v").agg(whole(F.sum("m") * 1e6).alias("micro_minutes"))
+
+
+@query(""", tr AS (SELECT o_orderstatus AS company, 'n' || o_custkey % 400 AS name, o_orderkey AS way, o_totalprice / 1e5 AS km, o_orderkey % 211 AS a, o_custkey % 211 AS b FROM orders),
+al AS (SELECT 'n' || k AS name, 'n' || (k + 1) AS parent FROM range(0, 400, 2) r(k)), sz AS (SELECT company, name, sum(km) AS km FROM tr GROUP BY ALL),
+en AS (SELECT company, name, a AS node FROM tr UNION ALL SELECT company, name, b FROM tr),
+ab AS (SELECT sz.company, sz.name, parent FROM sz JOIN al USING (name) JOIN sz p ON p.company = sz.company AND p.name = parent WHERE sz.km < 30 AND p.km >= 20)
+SELECT ab.company, ab.name, parent FROM ab JOIN en ON en.company = ab.company AND en.name = ab.name JOIN (SELECT DISTINCT company, name, node FROM en) q ON q.company = ab.company AND q.name = parent AND q.node = en.node GROUP BY ALL HAVING count(*) >= 2""")
+def short_connectors(t: Tables) -> DataFrame:
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    tracks = t.orders.select(F.col("o_orderstatus").alias("company"), name(F.col("o_custkey") % 400).alias("name"), F.col("o_orderkey").alias("way"), (F.col("o_totalprice") / 1e5).alias("km"), (F.col("o_orderkey") % 211).alias("a"), (F.col("o_custkey") % 211).alias("b"))
+    aliases = t.spark.range(0, 400, 2).select(name(F.col("id")).alias("name"), name(F.col("id") + 1).alias("parent"))
+    return ways.merged_connectors(tracks, aliases, 30.0, 20.0)
+
+
+@query(""", w AS (SELECT point_id AS way, 'n' || point_id % 50 AS name, lon, lat FROM points), r AS (SELECT 'n' || s_suppkey % 60 AS name, s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 THEN 100 + s_suppkey % 5 END AS west FROM supplier),
+f AS (SELECT way, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id FROM w JOIN r ON w.name = r.name AND (west IS NULL OR (lon BETWEEN west AND west + 1 AND lat BETWEEN 20 AND 22)) GROUP BY way)
+SELECT w.way, coalesce(f.id, -1) AS id FROM w LEFT JOIN f USING (way)""")
+def identities_by_name(t: Tables) -> DataFrame:
+    name = lambda c, n: F.concat(F.lit("n"), (F.col(c) % n).cast("string")).alias("name")
+    tracks = t.points().select(F.col("point_id").alias("way"), name("point_id", 50), "lon", "lat")
+    west = F.when(F.col("s_suppkey") % 3 > 0, 100.0 + F.col("s_suppkey") % 5)
+    edge = lambda v: F.when(west.isNotNull(), F.lit(v))
+    records = t.supplier.select(name("s_suppkey", 60), F.col("s_suppkey").alias("id"), west.alias("west"), (west + 1).alias("east"), edge(20.0).alias("south"), edge(22.0).alias("north"))
+    return ways.bound_by_name(tracks, records).select("way", F.coalesce("id", F.lit(-1)).alias("id"))
+
+
+@query(""", p AS (SELECT trip_id % 300 AS way, stop_id AS node FROM trip_stop WHERE seq <= 2), m AS (SELECT DISTINCT way % 7 AS line, way FROM p WHERE way % 4 < 3), o AS (SELECT line, min(way) AS way FROM m GROUP BY line),
+t2 AS (SELECT DISTINCT a.way AS x, b.way AS y FROM p a JOIN p b USING (node)), g(line, way) AS (SELECT * FROM o UNION SELECT g.line, m.way FROM g JOIN t2 ON t2.x = g.way JOIN m ON m.line = g.line AND m.way = t2.y) SELECT line, way FROM g""".join([f"WITH RECURSIVE {VIEWS}", ""]))
+def shared_track(t: Tables) -> DataFrame:
+    points = t.trip_stop().where("seq <= 2").select((F.col("trip_id") % 300).alias("way"), F.col("stop_id").alias("node")).distinct()
+    members = points.where("way % 4 < 3").select((F.col("way") % 7).alias("line"), "way").distinct()
+    return ways.grown(members.groupBy("line").agg(F.min("way").alias("way")), members, points)
