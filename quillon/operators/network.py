@@ -121,21 +121,16 @@ def clipped_path(points: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def smoothed(points: DataFrame, sigma: float) -> DataFrame:
-    """line, seq, lon, lat: Gaussian means along each line (line, seq, along, lon, lat); its ends stay."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        at, lon, lat = (pdf[c].to_numpy() for c in ("along", "lon", "lat"))
-        new_lon, new_lat = lon.copy(), lat.copy()
-        for i in range(1, len(at) - 1):
-            lo, hi = np.searchsorted(at, (at[i] - 3 * sigma, at[i] + 3 * sigma))
-            w = np.exp(-((at[lo:hi] - at[i]) ** 2) / (2 * sigma**2))
-            new_lon[i] = (lon[lo:hi] * w).sum() / w.sum()
-            new_lat[i] = (lat[lo:hi] * w).sum() / w.sum()
-        return pdf[["line", "seq"]].assign(lon=new_lon, lat=new_lat)
-
-    kinds = dict(points.dtypes)
-    return points.groupBy("line").applyInPandas(run, f"line {kinds['line']}, seq {kinds['seq']}, lon double, lat double")
+    """line, seq, lon, lat: Gaussian means along each line (line, seq, along, lon, lat) over what lies within three sigma; its ends stay."""
+    reach = f"{float(3 * sigma)!r}D"
+    near = F.expr(f"collect_list(struct(along, lon, lat)) OVER (PARTITION BY line ORDER BY along RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING)")
+    own = Window.partitionBy("line")
+    rows = points.withColumns({"near": near, "first": F.min("seq").over(own), "last": F.max("seq").over(own)})
+    weight = lambda p: F.exp(-F.pow(p["along"] - F.col("along"), 2) / (2 * sigma**2))
+    total = lambda value: F.aggregate("near", F.lit(0.0), lambda acc, p: acc + value(p))
+    mean = lambda c: total(lambda p: weight(p) * p[c]) / total(weight)
+    end = (F.col("seq") == F.col("first")) | (F.col("seq") == F.col("last"))
+    return rows.select("line", "seq", *[F.when(end, F.col(c)).otherwise(mean(c)).alias(c) for c in ("lon", "lat")])
 
 
 def shortest_chain(edges: dict[int, list[tuple[int, float]]], start: int, goal: int, budget: float) -> tuple[float, list[int]] | None:

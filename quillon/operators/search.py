@@ -28,4 +28,4 @@ def page(rows: DataFrame, query: str, number: str, size: int = 40) -> DataFrame:
     hits = rows.where(F.contains(F.lower(number), F.lit(query.lower())))
     hits = hits.withColumns({"exact": exact, "n": F.when(digits == "", None).otherwise(digits.cast("long"))})
     order = [F.desc("exact"), F.asc_nulls_last("n"), F.asc(number)]
-    return hits.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy())).orderBy(*order).limit(size)
+    return hits.withColumn("total", hits.agg(F.count(F.lit(1))).scalar()).orderBy(*order).limit(size)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import geo, scalars
-from quillon.operators import aggregates, conform, drawn, graph, matching, timetable, ways
+from quillon.operators import aggregates, conform, drawn, graph, matching, network, timetable, ways
 from quillon.operators.lines import cumulative
-from quillon.plans.catalog import _EDGES, _T, _edges, _instant, query, whole
+from quillon.plans.catalog import _EDGES, _T, _edges, _instant, _paths, query, whole
 from quillon.plans.fixtures import VIEWS, Tables, metres_sql
 
 
@@ -560,3 +560,44 @@ def shared_track(t: Tables) -> DataFrame:
     points = t.trip_stop().where("seq <= 2").select((F.col("trip_id") % 300).alias("way"), F.col("stop_id").alias("node")).distinct()
     members = points.where("way % 4 < 3").select((F.col("way") % 7).alias("line"), "way").distinct()
     return ways.grown(members.groupBy("line").agg(F.min("way").alias("way")), members, points)
+
+
+# --- lines ------------------------------------------------------------------------------------------------------------
+
+_ALONG = f""", path AS (SELECT trip_id AS line, seq, lon, lat FROM trip_stop JOIN stop USING (stop_id)), pv AS (SELECT *, lag(lon) OVER o AS p_lon, lag(lat) OVER o AS p_lat FROM path WINDOW o AS (PARTITION BY line ORDER BY seq)),
+al AS (SELECT line, seq, lon, lat, sum(coalesce(m, 0e0)) OVER (PARTITION BY line ORDER BY seq) AS along FROM (SELECT pv.*, {metres_sql('a', 'b')} AS m FROM pv, LATERAL (SELECT pv.p_lon AS lon, pv.p_lat AS lat) a, LATERAL (SELECT pv.lon, pv.lat) b))"""
+
+
+@query(_ALONG + """, e AS (SELECT line, min(seq) AS f, max(seq) AS l FROM al GROUP BY line), w AS (SELECT a.line, a.seq, a.lon, a.lat, b.lon AS b_lon, b.lat AS b_lat, exp(-pow(b.along - a.along, 2) / 5e9) AS w FROM al a JOIN al b ON a.line = b.line AND abs(b.along - a.along) <= 150000)
+SELECT line, seq, CAST(floor(CASE WHEN seq IN (max(f), max(l)) THEN max(lon) ELSE sum(w * b_lon) / sum(w) END * 1e5 + 5e-1) AS BIGINT) AS lon_e5, CAST(floor(CASE WHEN seq IN (max(f), max(l)) THEN max(lat) ELSE sum(w * b_lat) / sum(w) END * 1e5 + 5e-1) AS BIGINT) AS lat_e5 FROM w JOIN e USING (line) GROUP BY line, seq""")
+def smoothed_places(t: Tables) -> DataFrame:
+    out = network.smoothed(cumulative(_paths(t)), 50_000.0)
+    return out.select("line", "seq", whole(F.col("lon") * 1e5).alias("lon_e5"), whole(F.col("lat") * 1e5).alias("lat_e5"))
+
+
+@query(_ALONG + """, b AS (SELECT line, max(along) * 25e-2 AS lo, max(along) * 75e-2 AS hi FROM al GROUP BY line), n AS (SELECT al.*, lo, hi, lead(along) OVER o AS n_al, lead(al.lon) OVER o AS n_lon, lead(al.lat) OVER o AS n_lat FROM al JOIN b USING (line) WINDOW o AS (PARTITION BY line ORDER BY seq)),
+c AS (SELECT line, along, lon, lat FROM n WHERE along BETWEEN lo AND hi UNION ALL SELECT line, x, lon + (n_lon - lon) * (x - along) / (n_al - along), lat + (n_lat - lat) * (x - along) / (n_al - along) FROM n, LATERAL (SELECT unnest([lo, hi]) AS x) q WHERE along < x AND n_al > x)
+SELECT line, count(*) AS n, CAST(floor(sum(lon) * 1e4 + 5e-1) AS BIGINT) AS lon_e4, CAST(floor(sum(lat) * 1e4 + 5e-1) AS BIGINT) AS lat_e4 FROM c GROUP BY line""")
+def clipped_points(t: Tables) -> DataFrame:
+    along = cumulative(_paths(t))
+    ends = along.groupBy("line").agg((F.max("along") * 0.25).alias("low"), (F.max("along") * 0.75).alias("high"))
+    out = network.clipped_path(along, ends)
+    return out.groupBy("line").agg(F.count(F.lit(1)).alias("n"), whole(F.sum("lon") * 1e4).alias("lon_e4"), whole(F.sum("lat") * 1e4).alias("lat_e4"))
+
+
+@query(f"""WITH RECURSIVE {VIEWS}, i AS (SELECT event_type AS kind, event_id AS k, 100 + event_id * 37 % 900 AS size, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+s(kind, n, k, size, shard, used) AS (SELECT kind, n, k, size, CAST(0 AS BIGINT), size FROM i WHERE n = 1 UNION ALL SELECT i.kind, i.n, i.k, i.size, s.shard + CASE WHEN s.used + i.size > 5000 THEN 1 ELSE 0 END, CASE WHEN s.used + i.size > 5000 THEN i.size ELSE s.used + i.size END FROM s JOIN i ON i.kind = s.kind AND i.n = s.n + 1)
+SELECT kind, k, size, shard FROM s""")
+def event_shards(t: Tables) -> DataFrame:
+    rows = t.events.select(F.col("event_type").alias("kind"), F.col("event_id").alias("k"), (100 + F.col("event_id") * 37 % 900).alias("size"))
+    return aggregates.sharded(rows, "kind", "k", "size", 5000)
+
+
+@query(""", q AS (SELECT trip_id AS line, seq, CAST(floor(lon * 1e5 + 5e-1) AS BIGINT) AS x, CAST(floor(lat * 1e5 + 5e-1) AS BIGINT) AS y FROM trip_stop JOIN stop USING (stop_id))
+SELECT line, count(*) AS n, CAST(sum(x) AS BIGINT) AS lon_e5, CAST(sum(y) AS BIGINT) AS lat_e5 FROM q GROUP BY line""")
+def decoded_polylines(t: Tables) -> DataFrame:
+    at = F.array_sort(F.collect_list(F.struct("seq", "lon", "lat")))
+    rows = _paths(t).groupBy("line").agg(F.transform(at, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"))).alias("path"))
+    back = rows.select("line", geo.from_polyline(geo.polyline(F.col("path"))).alias("p"))
+    total = lambda c: F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + whole(x[c] * 1e5))
+    return back.select("line", F.size("p").cast("long").alias("n"), total("lon").alias("lon_e5"), total("lat").alias("lat_e5"))
