@@ -18,6 +18,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ class WordEncoder:
     PATTERN = re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
     OTHER = re.compile(r"[^\t\n\r -~\xa0-\u024f\u2010-\u2027]|<\|")
 
-    def __init__(self, path: str, max_entries: int = 1_000_000):
+    def __init__(self, path: str, max_entries: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,8 +64,8 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode words that aren't cached in one text: every word's last token, and no other, ends a word."""
-        if len(self.cache) + len(words) > self.max_entries:
-            self.cache.clear()
+        if len(self.cache) + len(words) > self.max_entries:  # frequent words come early: the older half stays
+            self.cache = dict(islice(self.cache.items(), self.max_entries // 2))
         ids = self._ids([" ".join(words)])[0]
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) == len(words):
@@ -83,11 +84,11 @@ class WordEncoder:
             try:
                 raw = b"".join(map(self.cache.__getitem__, words))
             except KeyError:
-                cache = self.cache
-                self._learn([w for w in set(words) if w not in cache])
-                if missing := [w for w in set(words) if w not in cache]:  # the cache was emptied
-                    self._learn(missing)
-                raw = b"".join(map(cache.__getitem__, words))
+                self._learn([w for w in set(words) if w not in self.cache])
+                if any(w not in self.cache for w in words):  # the cache was cut
+                    self.cache.clear()
+                    self._learn(list(set(words)))
+                raw = b"".join(map(self.cache.__getitem__, words))
             yield np.frombuffer(raw + tail, dtype=np.uint32)
 
 

@@ -36,7 +36,7 @@ class WordHash(dict):
     """A bounded cache of word hashes."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -46,7 +46,7 @@ class StemHash(dict):
     """A bounded cache of words: the hashes of the word and of its first four and five letters, as bytes."""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         h = [xxhash.xxh64_intdigest(word), xxhash.xxh64_intdigest(word[:4], seed=4), xxhash.xxh64_intdigest(word[:5], seed=5)]
         out = self[word] = np.array(h, dtype=np.uint64).tobytes()

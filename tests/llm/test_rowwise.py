@@ -80,6 +80,17 @@ def test_words_are_those_of_the_tokenizer():
         assert own.findall(text) == packing.WordEncoder.PATTERN.findall(text)
 
 
+@pytest.mark.parametrize("entries", [2, 5, 40])
+def test_a_full_word_cache_changes_nothing(entries):
+    from tokenizers import Tokenizer
+
+    rng, own = random.Random(4), Tokenizer.from_file(tokenizer_path())
+    words = ["alpha", "beta", "gammaray", "dél", "x1", "it's", "quietly", "zzz", "hello", "world"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 4, 30]))) for _ in range(60)]
+    got = packing.WordEncoder(tokenizer_path(), entries).encode(texts, 1)
+    assert [x.tolist() for x in got] == [[*own.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_pack_of_repeated_rows(spark):
     docs = made(spark, ["a b c", "d e"])
     rows = packing.pack(docs.union(docs).coalesce(1), tokenizer_path()).collect()
