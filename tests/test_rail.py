@@ -87,7 +87,7 @@ def test_joins(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 50.0)], "id long, lon double, lat double")
     b = spark.createDataFrame([(1, 0.01, 0.0), (2, 0.02, 0.0), (3, 9.0, 50.0), (4, 0.01, 0.0)], "b long, r_lon double, r_lat double")
     assert sorted((r.id, r.b) for r in joins.within(a, b, 1500.0).collect()) == [(1, 1), (1, 4)]
-    got = sorted((r.id, r.rank, r.b) for r in joins.nearest(a, b, "id", "b", 2, 1000.0, 8).collect())
+    got = sorted((r.id, r.rank, r.b) for r in joins.nearest(a, b, "id", "b", 2, 1000.0).collect())
     assert got[:2] == [(1, 1, 1), (1, 2, 4)] and (2, 1, 3) in got
     left = spark.createDataFrame([(1, 5), (1, 0)], "k long, t long")
     right = spark.createDataFrame([(1, 1, "x"), (1, 5, "y")], "k long, t2 long, v string")
