@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize, release, text_of
+from .common import BROADCAST_BYTES, give_back, materialize, release, text_of
 from .toxicity import WordHash
 
 SHINGLE = 5
@@ -135,6 +135,8 @@ def _sketch(depth: int):
                     o.append(v)
             kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "key", "n", "nodes", "rests", "sketch"])
+        hashes.clear()
+        give_back()
 
     return run
 
@@ -258,6 +260,7 @@ def _planted(depth: int):
                 keep[own] = [int(cid[row[i]]) in stay for i in own.tolist()]
             kept = np.flatnonzero(keep)
             yield _rows(node[kept], rest[kept], cid[row[kept]], sketch[row[kept]], list(dict.fromkeys(links)))
+        give_back()
 
     return run
 
@@ -403,6 +406,8 @@ def _verify(threshold: float):
                 held[cid] = (block, np.frombuffer(raw, dtype=np.uint64))
         if held:
             yield flush()
+        held = {}
+        give_back()
 
     return run
 

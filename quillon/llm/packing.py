@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import give_back, text_of
 
 TIERS = (256, 512, 1024, 2048)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, padded_length long, step_group long"
@@ -59,6 +59,11 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    def rest(self, entries: int = 100_000) -> None:
+        """Keep the oldest words only, which are the frequent ones, until the next task."""
+        self.cache = dict(islice(self.cache.items(), entries))
+        give_back()
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -222,6 +227,7 @@ def _packer(path: str, end: int, tiers: tuple[int, ...], step_tokens: int):
         for tier, pieces in packer.windows(True):
             waiting[tier].append(described(tier, pieces))
         yield from dealt(True)
+        encoder.rest()
 
     return run
 
