@@ -415,7 +415,7 @@ def route_pairs(t: Tables) -> DataFrame:
 
 @query()
 def fitted_paths(t: Tables) -> DataFrame:
-    pieces = t.track().where("v - u < 12")
+    pieces = t.track().where("v - u < 3")
     at = lambda k, p: t.stop().select(F.col("stop_id").alias(k), F.col("lon").alias(f"{p}_lon"), F.col("lat").alias(f"{p}_lat"))
     segments = pieces.join(at("u", "a"), "u").join(at("v", "b"), "v").withColumn("seg", F.monotonically_increasing_id())
     paths = pieces.join(at("u", "a"), "u").join(at("v", "b"), "v").withColumn("line", F.xxhash64("u", "v"))
