@@ -17,12 +17,12 @@ def one(spark, column):
 
 
 def test_times_and_dates(spark):
-    assert one(spark, scalars.parse_time(F.lit("49:12:30"))) == 177150
+    assert one(spark, scalars.parse_time(F.lit("31:07:09"))) == 31 * 3600 + 7 * 60 + 9
     assert one(spark, scalars.parse_time(F.lit("7:05:09"))) == 25509
     assert one(spark, scalars.parse_time(F.lit("10:60:00"))) is None
-    assert one(spark, scalars.format_time(F.lit(177150))) == "49:12:30"
+    assert one(spark, scalars.format_time(F.lit(112029))) == "31:07:09"
     assert str(one(spark, scalars.parse_date(F.lit("20260228")))) == "2026-02-28"
-    assert one(spark, scalars.parse_date(F.lit("20260230"))) is None
+    assert one(spark, scalars.parse_date(F.lit("20251131"))) is None
     assert one(spark, scalars.half_up(F.lit(-1.5))) == -1
 
 
@@ -36,7 +36,7 @@ def test_speeds_and_colours(spark):
 
 def test_geometry(spark):
     at = lambda *x: [F.lit(float(v)) for v in x]
-    assert one(spark, geo.haversine(*at(0, 0, 1, 0))) == pytest.approx(111194.92664455874, abs=1e-6)
+    assert one(spark, geo.haversine(*at(0, 0, 1, 0))) == pytest.approx(6_371_000 * math.pi / 180, abs=1e-6)
     assert one(spark, geo.bearing(*at(0, 0, 0, 1))) == pytest.approx(0) and one(spark, geo.bearing(*at(0, 1, 0, 0))) == pytest.approx(180)
     assert one(spark, geo.bearing(*at(179.9, 0, -179.9, 0))) == pytest.approx(90) and one(spark, geo.bearing(*at(0, 0, 0, 1e-6))) is None
     assert one(spark, geo.turn(*at(0, 0, 1, 0, 1, 1))) == pytest.approx(90)
