@@ -47,7 +47,7 @@ class WordEncoder:
     PATTERN = re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
     OTHER = re.compile(r"[^\t\n\r -~\xa0-\u024f\u2010-\u2027]|<\|")
 
-    def __init__(self, path: str, max_entries: int = 400_000):
+    def __init__(self, path: str, max_entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -59,7 +59,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def rest(self, entries: int = 100_000) -> None:
+    def rest(self, entries: int = 600_000) -> None:
         """Keep the oldest words only, which are the frequent ones, until the next task."""
         self.cache = dict(islice(self.cache.items(), entries))
         give_back()
