@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lines, mixing, neardup, packing, passages, pii, quality, topk, toxicity
+from . import centroids, chat, lines, mixing, neardup, packing, passages, pii, quality, topk, toxicity
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,8 +56,12 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op2_pii, op3_pack, op4_neardup, op5_toxicity, op6_quality, op7_chat, op8_lines, op9_passages, op10_search)
+    found = (op1_mix, op2_pii, op3_pack, op4_neardup, op5_toxicity, op6_quality, op7_chat, op8_lines, op9_passages, op10_search, op11_centroids)
     return {f.__name__: f for f in found}
 
 
@@ -141,5 +145,32 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def _op11_sql(k: int = 40, rounds: int = 5, width: int = 64, seed: int = 2) -> str:
+    """One block of assignments and floored means for each round."""
+    sql = f"""
+WITH v AS MATERIALIZED (
+    SELECT vec_id, row_number() OVER () AS no, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+e AS (SELECT no, unnest(x) AS x, unnest(range(0, {width})) AS d FROM v),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, x) - 1 AS c, x FROM v QUALIFY c < {k})
+"""
+    near = "SELECT no, arg_min(c, (far, c)) AS c, min(far) AS far FROM (SELECT no, c, list_sum(list_transform(list_zip(v.x, q.x), lambda z: CAST((z[1] - z[2]) * (z[1] - z[2]) AS BIGINT))) AS far FROM v, c{r} q) GROUP BY no"
+    for r in range(rounds):
+        sql += f""", a{r} AS ({near.format(r=r)}),
+m{r} AS (
+    SELECT c, list(f ORDER BY d) AS x FROM (
+        SELECT c, d, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS f FROM (SELECT c, d, sum(CAST(x AS HUGEINT)) AS s, count(*) AS n FROM e JOIN a{r} USING (no) GROUP BY c, d)
+    ) GROUP BY c
+),
+c{r + 1} AS (SELECT c, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (c))
+"""
+    return sql + f""", z AS ({near.format(r=rounds)})
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance, CAST(sum(far) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(far) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM z JOIN v USING (no) JOIN c{rounds} USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": OP6_SQL, "op8_lines": OP8_SQL, "op10_search": OP10_SQL}
+    return {"op11_centroids": _op11_sql(), "op6_quality": OP6_SQL, "op8_lines": OP8_SQL, "op10_search": OP10_SQL}
