@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, lines, mixing, neardup, packing, passages, pii, quality, topk, toxicity
+from . import centroids, chat, lines, merkle, mixing, neardup, packing, passages, pii, quality, topk, toxicity
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,8 +60,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op2_pii, op3_pack, op4_neardup, op5_toxicity, op6_quality, op7_chat, op8_lines, op9_passages, op10_search, op11_centroids)
+    found = (op1_mix, op2_pii, op3_pack, op4_neardup, op5_toxicity, op6_quality, op7_chat, op8_lines, op9_passages, op10_search, op11_centroids, op13_merkle)
     return {f.__name__: f for f in found}
 
 
@@ -172,5 +176,58 @@ FROM z JOIN v USING (no) JOIN c{rounds} USING (c)
 """
 
 
+#: crc32 (polynomial 0xEDB88320) of the decimal doc_id, bit by bit.
+CRC_SQL = """xor(list_reduce(
+        list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+        lambda c, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda x, k: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+
+def _coded(*columns: str) -> str:
+    return " || ".join(f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+    SELECT doc_id, source, {CRC_SQL} AS crc, sha256({_coded("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+           sha256({_coded("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")}) AS tried
+    FROM documents
+),
+p AS MATERIALIZED (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree, count(*) OVER (PARTITION BY source) AS n,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d
+),
+nodes AS (
+    SELECT tree, 0 AS level, idx, n, leaf AS digest FROM p
+    UNION ALL
+    SELECT tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 3, n
+),
+s AS MATERIALIZED (SELECT tree, digest AS subroot, tree - 1 AS rank, count(*) OVER () AS m FROM nodes WHERE n = 1),
+tops AS (
+    SELECT 0 AS level, rank AS idx, m AS n, subroot AS digest FROM s
+    UNION ALL
+    SELECT level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 3, n
+),
+walk AS (
+    SELECT doc_id, tree, leaf, idx AS at, n AS left_, 0 AS level, false AS top, '' AS proof,
+           CASE WHEN crc % 2 = 0 AND text_changes THEN tried ELSE leaf END AS fold
+    FROM (SELECT *, tried <> leaf AS text_changes FROM p)
+    UNION ALL
+    SELECT * FROM (
+        WITH w AS (SELECT w.*, s.rank, s.m FROM walk w JOIN s USING (tree) WHERE w.left_ > 1 OR NOT w.top)
+        SELECT doc_id, tree, leaf, rank, m, 0, true, proof, fold FROM w WHERE left_ <= 1 AND NOT top
+        UNION ALL
+        SELECT w.doc_id, w.tree, w.leaf, w.at // 3, (w.left_ + 2) // 3, w.level + 1, w.top,
+               w.proof || coalesce(string_agg(k.digest, '' ORDER BY k.idx) FILTER (WHERE k.idx <> w.at), ''),
+               sha256(string_agg(CASE WHEN k.idx = w.at THEN w.fold ELSE k.digest END, '' ORDER BY k.idx))
+        FROM w JOIN (SELECT tree, level, idx, digest, false AS top FROM nodes UNION ALL SELECT s.tree, level, idx, digest, true FROM tops, s) k
+          ON k.tree = w.tree AND k.level = w.level AND k.top = w.top AND k.idx // 3 = w.at // 3
+        WHERE w.left_ > 1 GROUP BY w.doc_id, w.tree, w.leaf, w.at, w.left_, w.level, w.top, w.proof, w.fold
+    )
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM walk JOIN s USING (tree), (SELECT digest AS root FROM tops WHERE n = 1) WHERE top AND left_ <= 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_centroids": _op11_sql(), "op6_quality": OP6_SQL, "op8_lines": OP8_SQL, "op10_search": OP10_SQL}
+    return {"op13_merkle": OP13_SQL, "op11_centroids": _op11_sql(), "op6_quality": OP6_SQL, "op8_lines": OP8_SQL, "op10_search": OP10_SQL}
