@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, lines, merkle, mixing, neardup, packing, passages, pii, quality, topk, toxicity
+from . import centroids, chat, lines, merkle, mixing, neardup, packing, passages, pii, quality, scoring, topk, toxicity
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,12 +60,16 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op2_pii, op3_pack, op4_neardup, op5_toxicity, op6_quality, op7_chat, op8_lines, op9_passages, op10_search, op11_centroids, op13_merkle)
+    found = (op1_mix, op2_pii, op3_pack, op4_neardup, op5_toxicity, op6_quality, op7_chat, op8_lines, op9_passages, op10_search, op11_centroids, op12_lm, op13_merkle)
     return {f.__name__: f for f in found}
 
 
