@@ -19,33 +19,68 @@ def filled(*values: Column) -> Column:
 #: Brackets that no attached name may hold; what ends the name in a longer text; the digits of written numbers.
 BRACKETS = r"[()（）\[\]【】{}「」]"
 NAME_END = r"[:：(（]|→|➡|=>|-->|⇒"
-HAN, HAN_DIGITS = r"[一-鿿]", "零一二三四五六七八九"
+HAN, HAN_DIGITS, HAN_PLACES = "一-鿿", "零一二三四五六七八九", {"十": 10, "百": 100}
+#: Letters, and what stands between the words of a name in them.
+_LATIN = "A-Za-zÀ-ÿ .'\\-"
+
+
+def script_runs(text: Column) -> Column:
+    """A text cut where its script changes: runs of Han signs, of Latin words with their blanks, and of all else."""
+    return F.regexp_extract_all(text, F.lit(f"[{HAN}]+|[{_LATIN}]+|[^{HAN}{_LATIN}]+"), F.lit(0))
 
 
 def own_script(name: Column) -> Column:
-    """The Han part of a bilingual name ('南港島綫 South Island Line' to '南港島綫'); other names as they are, up to the first sign that ends them."""
-    plain = F.regexp_replace(F.coalesce(name, F.lit("")), "[️⃣]", "")
-    plain = F.trim(F.get(F.split(plain, NAME_END, 2), F.lit(0)))
-    latin_tail = F.regexp_replace(plain, r"\s+[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ .'\-]*$", "")
-    latin_head = F.regexp_replace(latin_tail, r"^[A-Za-z .'\-]*[a-z][A-Za-z .'\-]*(?=[一-鿿])", "")
-    return F.when(plain.rlike(HAN), F.translate(F.regexp_replace(latin_head, r"\s+", ""), "臺", "台")).otherwise(plain)
+    """The part of a name in its own script.
+
+    The name ends at the first sign of NAME_END. Where any of its runs is Han, a translation goes: a Latin last run that is set off by a
+    blank, and a Latin first run in small letters right before a Han one (a single capital is part of the name). Blanks between the rest close up,
+    and one variant sign is made uniform.
+    """
+    plain = F.trim(F.get(F.split(F.translate(F.coalesce(name, F.lit("")), "\ufe0f\u20e3", ""), NAME_END, 2), F.lit(0)))
+    runs = script_runs(plain)
+    is_han = lambda r: F.coalesce(r.rlike(f"^[{HAN}]"), F.lit(False))
+    is_latin = lambda r: r.rlike(f"^[{_LATIN}]") & r.rlike("[A-Za-zÀ-ÿ]")
+
+    def stays(run: Column, i: Column) -> Column:
+        last = (i > 0) & (i == F.size(runs) - 1) & run.startswith(" ")
+        first = (i == 0) & run.rlike("[a-zß-ÿ]") & is_han(F.get(runs, i + 1))
+        return ~(is_latin(run) & (last | first))
+
+    kept = F.array_join(F.filter(runs, stays), "")
+    return F.when(F.exists(runs, is_han), F.translate(F.regexp_replace(kept, r"\s", ""), "臺", "台")).otherwise(plain)
 
 
 def written_number(text: Column) -> Column:
-    """A number up to 99 in Han digits as text: '五' to 5, '十二' to 12, '二十一' to 21."""
-    digits = lambda x: F.translate(x, HAN_DIGITS, "0123456789")
-    parts = F.split(text, "十", 2)
-    tens, ones = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    tens_value = F.when(tens == "", F.lit(1)).otherwise(digits(tens).try_cast("int"))
-    ones_value = F.when(ones == "", F.lit(0)).otherwise(digits(ones).try_cast("int"))
-    return F.when(F.contains(text, F.lit("十")), (tens_value * 10 + ones_value).cast("string")).otherwise(digits(text).try_cast("int").cast("string"))
+    """The value of a number written in Han digits, as text, sign by sign: a digit waits, a place sign takes what waits (or one) so many times,
+    digits in a row are read as decimals. NULL for an empty text or any other sign."""
+    signs = F.filter(F.split(text, ""), lambda c: c != "")
+    number = "struct<total:bigint,held:bigint,waits:boolean>"
+
+    def step(acc: Column, sign: Column) -> Column:
+        digit = (F.instr(F.lit(HAN_DIGITS), sign) - 1).cast("bigint")
+        place = F.lit(0).cast("bigint")
+        for name, value in HAN_PLACES.items():
+            place = F.when(sign == name, F.lit(value).cast("bigint")).otherwise(place)
+        taken = F.struct((acc["total"] + F.when(acc["waits"], acc["held"]).otherwise(F.lit(1)) * place).alias("total"), F.lit(0).cast("bigint").alias("held"), F.lit(False).alias("waits"))
+        read = F.struct(acc["total"].alias("total"), (acc["held"] * 10 + digit).alias("held"), F.lit(True).alias("waits"))
+        return F.when(place > 0, taken).when(digit >= 0, read).cast(number)
+
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("held"), F.lit(False).alias("waits")).cast(number)
+    value = F.aggregate(signs, start, step)
+    return F.when(F.size(signs) > 0, (value["total"] + value["held"]).cast("string"))
 
 
 def numbered(line: Column) -> Column:
-    """'五号线' to '5号线': the written number in front of 号线 in digits."""
-    pattern = "^(.*?)([一二三四五六七八九十]+)号线(.*)$"
-    before, written, after = (F.regexp_extract(line, pattern, i) for i in (1, 2, 3))
-    return F.when(written == "", line).otherwise(F.concat(before, written_number(written), F.lit("号线"), after))
+    """Numbers that are written in Han digits right before the word for a numbered line, in decimal digits."""
+    parts = F.split(line, "号线", -1)
+    signs = f"[{HAN_DIGITS[1:]}{''.join(HAN_PLACES)}]"
+
+    def counted(part: Column, i: Column) -> Column:
+        tail = F.regexp_extract(part, f"{signs}+$", 0)
+        head = F.substring(part, F.lit(1), F.char_length(part) - F.char_length(tail))
+        return F.when((i == F.size(parts) - 1) | (tail == ""), part).otherwise(F.concat(head, written_number(tail)))
+
+    return F.array_join(F.transform(parts, counted), "号线")
 
 
 def attached(n: Column, other: Column) -> Column:

@@ -42,8 +42,8 @@ def turnouts(edges: DataFrame) -> DataFrame:
 
 
 def branchings(paths: DataFrame, node: str = "node") -> DataFrame:
-    """Places (line, seq, node) where track branches: three paths or more end there, or it lies inside one path and on another. Two paths
-    that only meet end to end are one track in two pieces; a path of one point counts for nothing."""
+    """The nodes of paths (line, seq, node) at which a train can change track. Counted are path ends and passages: three ends, two passages, or one
+    of each make a branching; two ends alone are a seam. Paths of a single point are left aside."""
     own = Window.partitionBy("line")
     rows = paths.withColumns({"first": F.min("seq").over(own), "last": F.max("seq").over(own)}).where("first < last")
     end = (F.col("seq") == F.col("first")) | (F.col("seq") == F.col("last"))

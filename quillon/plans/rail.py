@@ -18,18 +18,25 @@ def _text(c) -> F.Column:
 
 # --- names and identities ---------------------------------------------------------------------------------------------
 
-_NAMES = """, w AS (SELECT p_partkey AS k, p_name AS n, CASE p_partkey % 7 WHEN 0 THEN '十二号线' WHEN 1 THEN '南港島綫 South Island Line' WHEN 2 THEN '臺北 3 号线' WHEN 3 THEN 'B 線' || p_size
-WHEN 4 THEN '二十一号线(北段)' WHEN 5 THEN '地铁五号线' ELSE p_name END AS raw FROM part)"""
+_DIGIT = "substr('零一二三四五六七八九', CAST({} AS BIGINT) + 1, 1)"
+_WRITTEN = f"CASE WHEN p_size >= 20 THEN {_DIGIT.format('p_size // 10')} ELSE '' END || CASE WHEN p_size >= 10 THEN '十' ELSE '' END || CASE WHEN p_size % 10 > 0 THEN {_DIGIT.format('p_size % 10')} ELSE '' END"
+_NAMES = f""", w AS (SELECT p_partkey AS k, p_size AS n, p_name, split_part(p_name, ' ', 1) AS word, {_WRITTEN} AS written FROM part)"""
 
 
 def _names(t: Tables) -> DataFrame:
-    k = F.col("p_partkey") % 7
-    raw = F.when(k == 0, "十二号线").when(k == 1, "南港島綫 South Island Line").when(k == 2, "臺北 3 号线").when(k == 3, F.concat(F.lit("B 線"), _text("p_size")))
-    raw = raw.when(k == 4, "二十一号线(北段)").when(k == 5, "地铁五号线").otherwise(F.col("p_name"))
+    """Names in one or two scripts, over words and numbers of the parts."""
+    k, n, word = F.col("p_partkey") % 9, F.col("p_size"), F.get(F.split("p_name", " "), F.lit(0))
+    digit = lambda d: F.substring(F.lit("零一二三四五六七八九"), (d + 1).cast("int"), F.lit(1))
+    none = F.lit("")
+    written = F.concat(F.when(n >= 20, digit(F.floor(n / 10))).otherwise(none), F.when(n >= 10, F.lit("十")).otherwise(none), F.when(n % 10 > 0, digit(n % 10)).otherwise(none))
+    c, text = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x]), n.cast("string")
+    raw = F.when(k == 0, c("东湖", written, "号线 ", word, " Lake Line")).when(k == 1, c(word, " river 江畔綫")).when(k == 2, c("臺", written, "号线(", word, ")")).when(k == 3, c("C ", text, " 環綫"))
+    raw = raw.when(k == 4, c("山城 ", text, " 号线：", word)).when(k == 5, c(written, "号线/", written, "号线")).when(k == 6, c(word, "坡", written, "站")).when(k == 7, c("  ", word, " ", text, " → 北站")).otherwise(F.col("p_name"))
     return t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("n"), raw.alias("raw"))
 
 
-@query(_NAMES + """ SELECT k, CASE k % 7 WHEN 0 THEN '12号线' WHEN 1 THEN '南港島綫' WHEN 2 THEN '台北3号线' WHEN 3 THEN replace(raw, 'B 線', 'B線') WHEN 4 THEN '21号线' WHEN 5 THEN '地铁5号线' ELSE n END AS name FROM w""")
+@query(_NAMES + """ SELECT k, CASE k % 9 WHEN 0 THEN '东湖' || n || '号线' WHEN 1 THEN '江畔綫' WHEN 2 THEN '台' || n || '号线' WHEN 3 THEN 'C' || n || '環綫' WHEN 4 THEN '山城' || n || '号线'
+WHEN 5 THEN n || '号线/' || n || '号线' WHEN 6 THEN '坡' || written || '站' WHEN 7 THEN word || ' ' || n ELSE trim(p_name) END AS name FROM w""")
 def own_script_names(t: Tables) -> DataFrame:
     return _names(t).select("k", conform.numbered(conform.own_script(F.col("raw"))).alias("name"))
 

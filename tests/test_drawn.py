@@ -127,6 +127,21 @@ def test_company_sides(spark):
 
 
 def test_written_numbers(spark):
-    df = spark.createDataFrame([(x,) for x in ["五号线", "十二号线", "二十一号线", "十号线", "甲线", "3号线", "地铁二十号线支线"]], "x string")
-    got = [r[0] for r in df.select(conform.numbered(conform.F.col("x"))).collect()]
-    assert got == ["5号线", "12号线", "21号线", "10号线", "甲线", "3号线", "地铁20号线支线"]
+    signs = "零一二三四五六七八九"
+    write = lambda n: (signs[n // 100] + "百" if n > 99 else "") + ("零" if n > 99 and 0 < n % 100 < 10 else "") + ((signs[n // 10 % 10] if n > 19 and n // 10 % 10 > 0 else "") + "十" if n // 10 % 10 else "") + (signs[n % 10] if n % 10 else "")
+    df = spark.createDataFrame([(n, write(n)) for n in range(1, 400)], "n int, x string")
+    got = df.select("n", conform.written_number(conform.F.col("x")).alias("v")).collect()
+    assert all(r.v == str(r.n) for r in got)
+    odd = [("六三", "63"), ("零", "0"), ("", None), ("7", None), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x, _ in odd], "x string").select(conform.written_number(conform.F.col("x"))).collect()] == [v for _, v in odd]
+    lines = [("青山九号线支线", "青山9号线支线"), ("河口四十号线", "河口40号线"), ("号线", "号线"), ("乙线", "乙线"), ("8号线", "8号线"), (None, None)]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x, _ in lines], "x string").select(conform.numbered(conform.F.col("x"))).collect()] == [v for _, v in lines]
+
+
+def test_own_script(spark):
+    names = [
+        ("青山綫 Green Hills Line", "青山綫"), ("Green hills 青山綫", "青山綫"), ("K 青山綫", "K青山綫"), ("青山綫2 East", "青山綫2"), ("Ligne Verte", "Ligne Verte"), ("臺南", "台南"),
+        ("青山（支）", "青山"), ("A => 青山", "A"), ("2\ufe0f\u20e3 青山", "2青山"), ("", ""), (None, ""), ("青山Express", "青山Express"), ("Line 7 青山", "Line7青山"),
+    ]
+    df = spark.createDataFrame([(x,) for x, _ in names], "x string")
+    assert [r[0] for r in df.select(conform.own_script(conform.F.col("x"))).collect()] == [v for _, v in names]
