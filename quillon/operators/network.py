@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 import random
 
@@ -77,30 +76,48 @@ def propagated(edges: DataFrame, values: DataFrame) -> DataFrame:
         known = cut(known.unionByName(new))
 
 
-def near_segments(points: DataFrame, segments: DataFrame, metres: float, mid_lat: float) -> DataFrame:
-    """Points (id, lon, lat) with the segments (seg, a_lon, a_lat, b_lon, b_lat) at most ``metres`` away: id, seg, share, metres.
+def near_segments(points: DataFrame, segments: DataFrame, metres: float, mid_lat: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Points (id, lon, lat) with the segments (seg, a_lon, a_lat, b_lon, b_lat) at most ``metres`` away, of the same ``by``: id, seg, share, metres.
 
-    A segment goes to the cells that its box touches, widened by the reach; a point to its own. Distances are in the plane of ``mid_lat``.
+    A point goes to the cell that it lies in, a segment to those within reach of it, worked out for parts of it as long as a cell: a long one
+    goes to a strip of cells, not to all of its box. Distances are in the plane around each point; with ``mid_lat``, in one plane for all.
     """
-    k = M * math.cos(math.radians(mid_lat))
     size = metres * 4
-    x, y = lambda c: F.col(c) * k, lambda c: F.col(c) * M
-    cell = lambda v: F.floor(v / size).cast("long")
-    ax, ay, bx, by = x("a_lon"), y("a_lat"), x("b_lon"), y("b_lat")
-    xs = F.explode(F.sequence(cell(F.least(ax, bx) - metres), cell(F.greatest(ax, bx) + metres)))
-    ys = F.explode(F.sequence(cell(F.least(ay, by) - metres), cell(F.greatest(ay, by) + metres)))
-    spread = segments.withColumn("c_x", xs).withColumn("c_y", ys)
-    met = points.withColumns({"c_x": cell(x("lon")), "c_y": cell(y("lat"))}).join(spread, ["c_x", "c_y"])
-    dx, dy = bx - ax, by - ay
-    length = dx * dx + dy * dy
-    share = ((x("lon") - ax) * dx + (y("lat") - ay) * dy) / F.when(length > 0, length)
-    share = F.when(length == 0, 0.0).when(share < 0, 0.0).when(share > 1, 1.0).otherwise(share)
+    fixed = None if mid_lat is None else math.cos(math.radians(mid_lat))
+    row = lambda lat: F.floor(lat * M / size).cast("long")
+
+    def metres_of_degree(y: Column) -> Column:
+        """Of longitude, in a row of cells: at its edge farther from the equator."""
+        if fixed is not None:
+            return F.lit(M * fixed)
+        edge = F.greatest(F.abs(y), F.abs(y + 1)) * (size / M)
+        return M * F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-6))
+
+    column = lambda lon, y: F.floor(lon * metres_of_degree(y) / size).cast("long")
+    a_lon, a_lat, b_lon, b_lat = (F.col(c) for c in ("a_lon", "a_lat", "b_lon", "b_lat"))
+    length = F.greatest(F.abs(b_lat - a_lat), F.abs(b_lon - a_lon)) * M
+    parts = F.greatest(F.lit(1), F.ceil(length / size)).cast("int")
+
+    def cells(i: Column) -> Column:
+        x0, y0, x1, y1 = (p + (q - p) * k / parts for k in (i, i + 1) for p, q in ((a_lon, b_lon), (a_lat, b_lat)))
+        across = lambda y: metres / metres_of_degree(y)
+        rows = F.sequence(row(F.least(y0, y1) - metres / M), row(F.greatest(y0, y1) + metres / M))
+        return F.flatten(F.transform(rows, lambda y: F.transform(F.sequence(column(F.least(x0, x1) - across(y), y), column(F.greatest(x0, x1) + across(y), y)), lambda x: F.struct(x.alias("c_x"), y.alias("c_y")))))
+
+    spread = segments.withColumn("c", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), cells)))))
+    own = points.withColumn("c", F.struct(column(F.col("lon"), row(F.col("lat"))).alias("c_x"), row(F.col("lat")).alias("c_y")))
+    met = own.join(spread, ["c", *by])
+    k = F.lit(M * fixed) if fixed is not None else M * F.cos(F.radians(F.col("lat")))
+    dx, dy, px, py = (b_lon - a_lon) * k, (b_lat - a_lat) * M, (F.col("lon") - a_lon) * k, (F.col("lat") - a_lat) * M
+    square = dx * dx + dy * dy
+    share = (px * dx + py * dy) / F.when(square > 0, square)
+    share = F.when(square == 0, 0.0).when(share < 0, 0.0).when(share > 1, 1.0).otherwise(share)
     met = met.withColumn("share", share)
-    off = F.sqrt(F.pow(x("lon") - ax - F.col("share") * dx, 2) + F.pow(y("lat") - ay - F.col("share") * dy, 2))
-    return met.withColumn("metres", off).where(F.col("metres") <= metres).select("id", "seg", "share", "metres")
+    off = F.sqrt(F.pow(px - F.col("share") * dx, 2) + F.pow(py - F.col("share") * dy, 2))
+    return met.withColumn("metres", off).where(F.col("metres") <= metres).select("id", "seg", *by, "share", "metres")
 
 
-def snapped(points: DataFrame, segments: DataFrame, metres: float, mid_lat: float) -> DataFrame:
+def snapped(points: DataFrame, segments: DataFrame, metres: float, mid_lat: float | None = None) -> DataFrame:
     """The nearest segment of each point within reach (ties: the smaller number)."""
     found = near_segments(points, segments, metres, mid_lat)
     best = Window.partitionBy("id").orderBy("metres", "seg")
@@ -133,61 +150,6 @@ def smoothed(points: DataFrame, sigma: float) -> DataFrame:
     return rows.select("line", "seq", *[F.when(end, F.col(c)).otherwise(mean(c)).alias(c) for c in ("lon", "lat")])
 
 
-def shortest_chain(edges: dict[int, list[tuple[int, float]]], start: int, goal: int, budget: float) -> tuple[float, list[int]] | None:
-    """(cost, nodes) of the cheapest way within budget, by Dijkstra's method; None if there is none."""
-    best, back, todo = {start: 0.0}, {}, [(0.0, start)]
-    while todo:
-        cost, node = heapq.heappop(todo)
-        if node == goal:
-            way = [node]
-            while node in back:
-                node = back[node]
-                way.append(node)
-            return cost, way[::-1]
-        if cost > best[node]:
-            continue
-        for to, w in edges.get(node, ()):
-            c = cost + w
-            if c <= budget and c < best.get(to, math.inf):
-                best[to], back[to] = c, node
-                heapq.heappush(todo, (c, to))
-    return None
-
-
-def fitted(path: list[tuple[float, float]], nodes: list[tuple[float, float]], links: list[tuple[int, int]], off: float = 150.0, peak: float = 300.0, longer: float = 1.5) -> list[tuple[float, float]] | None:
-    """A path with each stretch that strays more than ``off`` metres from the network (and beyond ``peak``) replaced by the network's
-    way between the nodes next to its ends; None (all or nothing) if some stretch has no way at most ``longer`` times as long."""
-    if not nodes:
-        return path
-    k = M * math.cos(math.radians(nodes[0][1]))
-    far = lambda a, b: math.hypot((a[0] - b[0]) * k, (a[1] - b[1]) * M)
-    edges: dict[int, list[tuple[int, float]]] = {}
-    for u, v in links:
-        d = far(nodes[u], nodes[v])
-        edges.setdefault(u, []).append((v, d))
-        edges.setdefault(v, []).append((u, d))
-    near = [min((far(p, n), i) for i, n in enumerate(nodes)) for p in path]
-    out, i = [], 0
-    while i < len(path):
-        if near[i][0] <= off:
-            out.append(path[i])
-            i += 1
-            continue
-        j = i
-        while j + 1 < len(path) and near[j + 1][0] > off:
-            j += 1
-        if max(near[x][0] for x in range(i, j + 1)) <= peak or i == 0 or j == len(path) - 1:
-            out += path[i : j + 1]
-        else:
-            own = sum(far(path[x], path[x + 1]) for x in range(i - 1, j + 1))
-            way = shortest_chain(edges, near[i - 1][1], near[j + 1][1], longer * own)
-            if way is None:
-                return None
-            out += [nodes[n] for n in way[1]]
-        i = j + 1
-    return out
-
-
 def ordered_lines(sections: list[list[str]], rounds: int = 2000, seed: int = 1) -> list[list[str]]:
     """Seats of lines in consecutive sections with few crossings, by seeded annealing. A crossing is a pair of lines that swap sides."""
     rng = random.Random(seed)

@@ -184,11 +184,6 @@ def test_network(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5)], "u long, v long")
     values = spark.createDataFrame([(1, 7), (3, 7), (5, 8)], "node long, value long")
     assert {(r.node, r.value) for r in network.propagated(edges, values).collect()} == {(1, 7), (3, 7), (5, 8), (2, 7)}
-    path = [(0.0, 0.0), (0.01, 0.005), (0.02, 0.0)]
-    nodes = [(0.0, 0.0), (0.01, 0.0), (0.02, 0.0)]
-    assert network.fitted(path, nodes, [(0, 1), (1, 2)]) == [(0.0, 0.0), (0.0, 0.0), (0.01, 0.0), (0.02, 0.0), (0.02, 0.0)]
-    assert network.fitted(path, nodes, [(0, 1)]) is None
-    assert network.shortest_chain({1: [(2, 5.0)]}, 1, 2, 4.0) is None
     seats = network.ordered_lines([["a", "b"], ["b", "a"], ["a", "b"]])
     assert seats[0] == seats[1] == seats[2]
     points = spark.createDataFrame([(1, 0.0, 0.0001), (2, 0.0, 1.0)], "id long, lon double, lat double")
