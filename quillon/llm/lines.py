@@ -1,8 +1,8 @@
 """Line deduplication as an exact set-similarity join, in DataFrame functions only.
 
 The tokens of a line are its distinct words. A line goes if an earlier line (by doc_id, then line number) has a Jaccard similarity
-of at least NUM / DEN with it. Tokens are ordered by rarity: word counts of the whole corpus, gathered in RANKS hash buckets,
-give every token one sortable number, so no shuffle is needed to order a line's tokens. Then:
+of at least NUM / DEN with it. Tokens are ordered by rarity: the words of one of SHARE lines, counted in RANKS hash buckets, give every token
+of all lines one sortable number, so no shuffle is needed to order a line's tokens. Any order of the tokens gives the same result; a good one saves time. Then:
 
 1. lines with equal token sets become one class, led by its earliest line; all others go;
 2. a line of n tokens posts the rarest n - ceil(NUM * n / DEN) + 1 of them (prefix filter); similar lines share one of these. Where
@@ -63,12 +63,14 @@ def _sets(line: Column) -> Column:
 def word_ranks(docs: DataFrame) -> Column:
     """One small array of the query: for each hash bucket, a level (0 to 127) that grows with the words of the corpus in it.
 
-    It comes as a scalar subquery, so that plans hold a reference to it. RANKS bounds it, whatever the vocabulary.
+    The words are those of one of SHARE lines, by the lines' hashes: the levels order tokens and decide nothing else. The array comes as a
+    scalar subquery, so that plans hold a reference to it. RANKS bounds it, whatever the vocabulary.
     """
-    words = docs.select(F.explode(F.split("d_text", "\n", -1)).alias("text")).select(F.explode(_words(F.col("text"))).alias("w"))
+    lines = docs.select(F.explode(F.split("d_text", "\n", -1)).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0)
+    words = lines.select(F.explode(_words(F.col("text"))).alias("w"))
     found = words.groupBy(F.xxhash64("w").bitwiseAND(RANKS - 1).cast("int").alias("b")).count().toArrow()
     counts = np.zeros(RANKS)
-    counts[np.asarray(found.column(0))] = np.asarray(found.column(1))
+    counts[np.asarray(found.column(0))] = np.asarray(found.column(1)) * SHARE
     array = pa.ListArray.from_arrays(pa.array([0, RANKS], pa.int32()), pa.array(_level(counts)))
     return docs.sparkSession.createDataFrame(pa.table({"levels": array})).scalar()
 
