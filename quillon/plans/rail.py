@@ -429,7 +429,7 @@ def fitted_paths(t: Tables) -> DataFrame:
     mid = F.struct(((F.col("a_lon") + F.col("b_lon")) / 2 + 0.004).alias("lon"), ((F.col("a_lat") + F.col("b_lat")) / 2).alias("lat"))
     points = F.array(F.struct(F.col("a_lon").alias("lon"), F.col("a_lat").alias("lat")), mid, F.struct(F.col("b_lon").alias("lon"), F.col("b_lat").alias("lat")))
     paths = paths.select("line", F.posexplode(points).alias("seq", "p")).select("line", F.col("seq").cast("long").alias("seq"), "p.lon", "p.lat")
-    return matching.matched(paths, segments, 22.0)[0]
+    return matching.matched(paths, segments, 22.0)[0].select("line", "seq", "lon", "lat")
 
 
 # --- coordinates, tags and colours ------------------------------------------------------------------------------------
