@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,12 +28,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_cuts: list[tuple[SparkSession, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the session's shared folder: lineage ends here."""
+    """The rows of ``df`` as a table in the session's shared folder: lineage ends here, and so does what the plan knows of partitions.
+
+    A checkpoint keeps the partitioning of the plan that it cuts. Over rounds of joins these nest, and planning takes twice as long with
+    every round; a written table has none, and its size is known. Tables go when the driver's process ends.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/quillon-cut-{uuid.uuid4().hex}"
+    _cuts.append((spark, path))
+    typed = df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "void"})
+    typed.write.parquet(path)
+    return spark.read.schema(typed.schema).parquet(path)
+
+
+def _clean() -> None:
+    for spark, path in _cuts:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            pass
+    _cuts.clear()
+
+
+atexit.register(_clean)
 
 
 def _cells(lat_band: Column, lat_deg: float, metres: float) -> Column:
