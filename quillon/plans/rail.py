@@ -123,7 +123,7 @@ def display_properties(t: Tables) -> DataFrame:
 
 @query(""", tr AS (SELECT p_partkey AS way, p_size % 12 AS line, CAST(p_size AS DOUBLE) AS km, p_partkey % 3 = 0 AND p_size % 12 < 6 AS tram FROM part),
 sv AS (SELECT p_partkey AS way, p_partkey % 4 AS quarter, unnest([p_size % 12, p_size % 12 + 12, p_size % 12 + 24]) AS service FROM part),
-se AS (SELECT DISTINCT service, '#' || lpad(CAST(service AS VARCHAR), 6, '0') AS colour, service % 4 = 0 AS tram, way FROM (SELECT service, way FROM sv WHERE quarter < 1 + service % 4 UNION ALL SELECT p_partkey % 97, p_partkey FROM part WHERE p_partkey % 97 < 40)),
+se AS (SELECT DISTINCT service, '#' || lpad(CAST(service AS VARCHAR), 6, '0') AS colour, service % 4 = 0 AS tram, way FROM (SELECT service, way FROM sv WHERE quarter < 1 + service % 4 UNION ALL SELECT p_partkey % 97, p_partkey FROM part)),
 sz AS (SELECT line, 2 * sum(CASE WHEN tram THEN km ELSE 0 END) > sum(km) AS tramway FROM tr GROUP BY line), w AS (SELECT * FROM tr JOIN sz USING (line)),
 lk AS (SELECT line, sum(km) AS line_km FROM w WHERE tramway OR NOT tram GROUP BY line),
 r AS (SELECT se.service, se.colour, se.tram AS ts, w.way, w.line, w.km, w.tram, w.tramway FROM se JOIN w USING (way)),
@@ -136,7 +136,7 @@ def colour_votes(t: Tables) -> DataFrame:
     tracks = t.part.select(F.col("p_partkey").alias("way"), (F.col("p_size") % 12).alias("line"), F.col("p_size").cast("double").alias("km"), ((F.col("p_partkey") % 3 == 0) & (F.col("p_size") % 12 < 6)).alias("tram"))
     line = F.col("p_size") % 12
     own = t.part.select(F.col("p_partkey").alias("way"), F.explode(F.array(line, line + 12, line + 24)).alias("service")).where("way % 4 < 1 + service % 4")
-    rows = own.select("service", "way").unionByName(t.part.where("p_partkey % 97 < 40").select((F.col("p_partkey") % 97).alias("service"), F.col("p_partkey").alias("way")))
+    rows = own.select("service", "way").unionByName(t.part.select((F.col("p_partkey") % 97).alias("service"), F.col("p_partkey").alias("way")))
     services = rows.select("service", F.concat(F.lit("#"), F.lpad(_text("service"), 6, "0")).alias("colour"), (F.col("service") % 4 == 0).alias("tram"), "way")
     return conform.colour_votes(tracks, services)
 
@@ -339,7 +339,7 @@ def station_changes(t: Tables) -> DataFrame:
 
 # --- checks of what is drawn ------------------------------------------------------------------------------------------
 
-_DRAWN = f""", e AS (SELECT u, v, row_number() OVER (ORDER BY u, v) AS piece FROM track WHERE v - u < 12), lp AS (SELECT piece, 'L' || (u % 5) AS line, 'c' || (u % 3) AS colour, CAST((u + v) % 3 - 1 AS DOUBLE) AS off, a.lon AS a_lon, a.lat AS a_lat, b.lon AS b_lon, b.lat AS b_lat FROM e JOIN stop a ON a.stop_id = u JOIN stop b ON b.stop_id = v),
+_DRAWN = f""", e AS (SELECT a.stop_id AS u, b.stop_id AS v, a.stop_id * 16 + b.stop_id - a.stop_id AS piece FROM stop a JOIN stop b ON b.stop_id > a.stop_id AND b.stop_id < a.stop_id + 12), lp AS (SELECT piece, 'L' || (u % 5) AS line, 'c' || (u % 3) AS colour, CAST((u + v) % 3 - 1 AS DOUBLE) AS off, a.lon AS a_lon, a.lat AS a_lat, b.lon AS b_lon, b.lat AS b_lat FROM e JOIN stop a ON a.stop_id = u JOIN stop b ON b.stop_id = v),
 sm AS (SELECT piece * 100 + k AS id, piece, line, colour, off, a_lon + (b_lon - a_lon) * k / 10 AS lon, a_lat + (b_lat - a_lat) * k / 10 AS lat, k, {metres_sql('a', 'b')} / 10 AS spacing, (b_lon - a_lon) * cos(radians(22e0)) AS hx, b_lat - a_lat AS hy FROM lp, range(0, 11) r(k), LATERAL (SELECT a_lon AS lon, a_lat AS lat) a, LATERAL (SELECT b_lon AS lon, b_lat AS lat) b),
 pr AS (SELECT s.id, s.piece, s.line, s.off, s.k, s.spacing, o.line AS other, o.off * CASE WHEN s.hx * o.hx + s.hy * o.hy > 0 THEN 1 ELSE -1 END AS side FROM sm s JOIN (SELECT *, (b_lon - a_lon) * cos(radians(22e0)) AS hx, b_lat - a_lat AS hy FROM lp) o ON s.line <> o.line AND s.colour <> o.colour
     WHERE abs(s.hx * o.hx + s.hy * o.hy) > 85e-2 * sqrt((s.hx * s.hx + s.hy * s.hy) * (o.hx * o.hx + o.hy * o.hy)) AND sqrt(pow(((s.lon - a_lon) - t_share(s.lon, s.lat, a_lon, a_lat, b_lon, b_lat) * (b_lon - a_lon)) * 111320e0 * cos(radians(22e0)), 2) + pow(((s.lat - a_lat) - t_share(s.lon, s.lat, a_lon, a_lat, b_lon, b_lat) * (b_lat - a_lat)) * 111320e0, 2)) <= 1000)
@@ -349,9 +349,10 @@ _DRAWN = _DRAWN.replace("t_share(s.lon, s.lat, a_lon, a_lat, b_lon, b_lat)", _SH
 
 
 def _pieces(t: Tables) -> DataFrame:
-    """Straight pieces of drawn lines between stops with near numbers."""
+    """Straight pieces of drawn lines, from each stop to the eleven after it."""
     at = lambda k, p: t.stop().select(F.col("stop_id").alias(k), F.col("lon").alias(f"{p}_lon"), F.col("lat").alias(f"{p}_lat"))
-    edges = t.track().where("v - u < 12").withColumn("piece", F.row_number().over(Window.orderBy("u", "v")))
+    u, v = F.col("u"), F.col("v")
+    edges = t.stop().select(F.col("stop_id").alias("u"), F.explode(F.sequence(F.col("stop_id") + 1, F.col("stop_id") + 11)).alias("v")).withColumn("piece", u * 16 + v - u)
     rows = edges.join(at("u", "a"), "u").join(at("v", "b"), "v")
     name = lambda p, n: F.concat(F.lit(p), (F.col("u") % n).cast("string"))
     return rows.select(F.col("piece").cast("long").alias("piece"), name("L", 5).alias("line"), name("c", 3).alias("colour"), ((F.col("u") + F.col("v")) % 3 - 1).cast("double").alias("off"), "a_lon", "a_lat", "b_lon", "b_lat")
@@ -422,7 +423,7 @@ def route_pairs(t: Tables) -> DataFrame:
 
 @query()
 def fitted_paths(t: Tables) -> DataFrame:
-    pieces = t.track().where("v - u < 3")
+    pieces = t.stop().select(F.col("stop_id").alias("u"), F.explode(F.sequence(F.col("stop_id") + 1, F.col("stop_id") + 2)).alias("v"))
     at = lambda k, p: t.stop().select(F.col("stop_id").alias(k), F.col("lon").alias(f"{p}_lon"), F.col("lat").alias(f"{p}_lat"))
     segments = pieces.join(at("u", "a"), "u").join(at("v", "b"), "v").withColumn("seg", F.monotonically_increasing_id())
     paths = pieces.join(at("u", "a"), "u").join(at("v", "b"), "v").withColumn("line", F.xxhash64("u", "v"))
@@ -561,11 +562,11 @@ def identities_by_name(t: Tables) -> DataFrame:
     return ways.bound_by_name(tracks, records).select("way", F.coalesce("id", F.lit(-1)).alias("id"))
 
 
-@query(""", p AS (SELECT trip_id % 300 AS way, stop_id AS node FROM trip_stop WHERE seq <= 2), m AS (SELECT DISTINCT way % 7 AS line, way FROM p WHERE way % 4 < 3), o AS (SELECT line, min(way) AS way FROM m GROUP BY line),
+@query(""", p AS (SELECT trip_id % 300 AS way, stop_id AS node FROM trip_stop), m AS (SELECT DISTINCT way % 7 AS line, way FROM p), o AS (SELECT line, min(way) AS way FROM m GROUP BY line),
 t2 AS (SELECT DISTINCT a.way AS x, b.way AS y FROM p a JOIN p b USING (node)), g(line, way) AS (SELECT * FROM o UNION SELECT g.line, m.way FROM g JOIN t2 ON t2.x = g.way JOIN m ON m.line = g.line AND m.way = t2.y) SELECT line, way FROM g""".join([f"WITH RECURSIVE {VIEWS}", ""]))
 def shared_track(t: Tables) -> DataFrame:
-    points = t.trip_stop().where("seq <= 2").select((F.col("trip_id") % 300).alias("way"), F.col("stop_id").alias("node")).distinct()
-    members = points.where("way % 4 < 3").select((F.col("way") % 7).alias("line"), "way").distinct()
+    points = t.trip_stop().select((F.col("trip_id") % 300).alias("way"), F.col("stop_id").alias("node")).distinct()
+    members = points.select((F.col("way") % 7).alias("line"), "way").distinct()
     return ways.grown(members.groupBy("line").agg(F.min("way").alias("way")), members, points)
 
 
