@@ -307,7 +307,10 @@ def percentiles(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_suppkey").alias("line")).agg(whole(F.percentile("l_quantity", 0.999) * 1e4).alias("p999_e4"), F.max("l_quantity").alias("most"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {VIEWS}, i AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents),
+s(lang, n, doc_id, n_chars, shard, used) AS (SELECT lang, n, doc_id, n_chars, CAST(0 AS BIGINT), n_chars FROM i WHERE n = 1 UNION ALL
+    SELECT i.lang, i.n, i.doc_id, i.n_chars, s.shard + CASE WHEN s.used > 0 AND s.used + i.n_chars > 50000 THEN 1 ELSE 0 END, CASE WHEN s.used > 0 AND s.used + i.n_chars > 50000 THEN i.n_chars ELSE s.used + i.n_chars END FROM s JOIN i ON i.lang = s.lang AND i.n = s.n + 1)
+SELECT lang, doc_id, n_chars, shard FROM s""")
 def size_shards(t: Tables) -> DataFrame:
     return aggregates.sharded(t.documents.select("lang", "doc_id", "n_chars"), "lang", "doc_id", "n_chars", 50_000)
 
@@ -431,7 +434,13 @@ def walk_edges(t: Tables) -> DataFrame:
     return graph.walks(t.stop().select(F.col("stop_id").alias("id"), "lon", "lat"), 20_000.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {VIEWS}, ends AS (SELECT u, v, u AS node FROM track UNION ALL SELECT u, v, v FROM track),
+deg AS (SELECT node, count(*) AS n FROM ends GROUP BY node), e AS (SELECT u * 1000000 + v AS edge, u, v FROM track),
+link AS (SELECT DISTINCT a.u * 1000000 + a.v AS x, b.u * 1000000 + b.v AS y FROM ends a JOIN ends b USING (node) JOIN deg USING (node) WHERE n = 2),
+chain(edge, root) AS (SELECT edge, edge FROM e UNION SELECT l.y, c.root FROM chain c JOIN link l ON l.x = c.edge),
+own AS (SELECT edge, min(root) AS root FROM chain GROUP BY edge),
+tip AS (SELECT root, min(node) AS u, max(node) AS v FROM own JOIN (SELECT u * 1000000 + v AS edge, node FROM ends JOIN deg USING (node) WHERE n <> 2) USING (edge) GROUP BY root)
+SELECT tip.u, tip.v, CAST(1000 * count(*) AS BIGINT) AS metres, count(*) AS pieces FROM own JOIN tip USING (root) GROUP BY root, tip.u, tip.v""")
 def contracted_edges(t: Tables) -> DataFrame:
     edges = t.track().withColumn("metres", F.lit(1000).cast("long"))
     return graph.contract(edges)
