@@ -145,7 +145,10 @@ def bound_by_name(ways: DataFrame, records: DataFrame) -> DataFrame:
     """way, id: the record (name, id, west, south, east, north; no box: anywhere) that bears exactly the way's name and whose box holds its middle
     (lon, lat); NULL where none or several do."""
     box = F.col("west").isNull() | (F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north")))
-    found = ways.join(records, "name").where(box).groupBy("way").agg(F.when(F.count_distinct("id") == 1, F.min("id")).alias("id"))
+    # records of one name and box are one row, with their least and their greatest id: a way's records are one if these are equal
+    boxes = records.groupBy("name", "west", "south", "east", "north").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    found = ways.join(boxes, "name").where(box).groupBy("way").agg(F.min("low").alias("id"), F.max("high").alias("high"))
+    found = found.select("way", F.when(F.col("id") == F.col("high"), F.col("id")).alias("id"))
     return ways.select("way").join(found, "way", "left")
 
 
