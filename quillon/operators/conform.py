@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import colour, grade, parse_speeds
-from quillon.operators.joins import within
+from quillon.operators.joins import cut, within
 
 
 def filled(*values: Column) -> Column:
@@ -189,7 +189,7 @@ def first_per_cell(points: DataFrame, by: list[str], order: list[str], per_degre
 def named_nearby(points: DataFrame, names: DataFrame, metres: float) -> DataFrame:
     """Points (id, name, lon, lat) with the ``value`` of the nearest row of their own name within reach (ties: the smaller value), else NULL."""
     rows = names.select(F.col("name").alias("r_name"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), "value")
-    pairs = within(points.select("id", "name", "lon", "lat"), rows, metres).where("name = r_name")
+    pairs = within(points.select("id", "name", "lon", "lat"), rows, metres, by={"name": "r_name"})
     best = pairs.groupBy("id").agg(F.min(F.struct("metres", "value")).alias("best")).select("id", F.col("best.value").alias("value"))
     return points.join(best, "id", "left")
 
@@ -198,10 +198,13 @@ def lines_at(points: DataFrame, stops: DataFrame, same_place: float, same_name:
     """id, lines (sorted): the lines whose stops (line, name, lon, lat) lie at a point (id, name, lon, lat), whatever they are called, or near
     it under its name; points of one name near each other share their lines."""
     rows = stops.select("line", F.col("name").alias("r_name"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    here = within(points.select("id", "name", "lon", "lat"), rows, max(same_place, same_name))
-    here = here.where((F.col("metres") <= same_place) | ((F.col("name") == F.col("r_name")) & (F.col("metres") <= same_name))).select("id", "line").distinct()
+    # a line's stops of one name at one place are one, and so are a line's at one place for the points there
+    own = points.select("id", "name", "lon", "lat")
+    here = within(own, cut(rows.select("line", "r_lon", "r_lat").distinct()), same_place).select("id", "line")
+    named = within(own, cut(rows.distinct()), same_name, by={"name": "r_name"}).select("id", "line")
+    here = cut(here.unionByName(named).distinct())
     twins = points.select(F.col("id").alias("b"), F.col("name").alias("r_name"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    twins = within(points.select("id", "name", "lon", "lat"), twins, same_name).where("name = r_name AND id <> b").select("id", "b")
+    twins = within(points.select("id", "name", "lon", "lat"), twins, same_name, by={"name": "r_name"}).where("id <> b").select("id", "b")
     lent = twins.join(here.withColumnRenamed("id", "b"), "b").select("id", "line")
     found = here.unionByName(lent).groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     return points.select("id").join(found, "id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
@@ -284,9 +287,20 @@ def distances_valid(stops: DataFrame, shapes: DataFrame, slack: float = 2.0) ->
 
 
 def nearest_city(points: DataFrame, cities: DataFrame, elsewhere: str) -> DataFrame:
-    """Points (id, lon, lat) with the nearest city (city, lon, lat, reach in metres) that reaches them; ties: the smaller name."""
-    at = cities.select("city", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), "reach")
-    most = cities.agg(F.max("reach")).first()[0] or 0.0
-    best = within(points.select("id", "lon", "lat"), at, float(most)).where("metres < reach").groupBy("id").agg(F.min(F.struct("metres", "city")).alias("best"))
+    """Points (id, lon, lat) with the nearest city (city, lon, lat, reach in metres) that reaches them; ties: the smaller name.
+
+    Of cities at one place, one counts only where those before it by name don't reach as far. The search goes out in steps: a city that is found is the
+    nearest, so only points without one go on.
+    """
+    before = Window.partitionBy("lon", "lat").orderBy("city").rowsBetween(Window.unboundedPreceding, -1)
+    at = cities.withColumn("covered", F.max("reach").over(before)).where("covered IS NULL OR covered < reach")
+    at = cut(at.select("city", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), "reach"))
+    most = float(at.agg(F.max("reach")).first()[0] or 0.0)
+    todo, best = points.select("id", "lon", "lat"), None
+    for metres in (most / 4, most / 2, most):
+        met = within(todo, at, metres).where("metres < reach").groupBy("id").agg(F.min(F.struct("metres", "city")).alias("best"))
+        met = cut(met)
+        best = met if best is None else best.unionByName(met)
+        todo = todo.join(met.select("id"), "id", "left_anti")
     return points.join(best.select("id", F.col("best.city").alias("city")), "id", "left").withColumn("city", F.coalesce("city", F.lit(elsewhere)))
 

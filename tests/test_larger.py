@@ -64,3 +64,42 @@ def test_line_gaps_between_pieces_at_one_place(spark, tmp_path):
 def test_assembled_runs_in_order_where_places_repeat(spark, tmp_path):
     stops = dict.fromkeys([10, 25, 47, 60, 10 + AGAIN, 25 + AGAIN, 60 + AGAIN], 1) | dict.fromkeys([5, 88, 5 + AGAIN], 2)
     same(spark, tables(spark, tmp_path, stops), "assembled_runs")
+
+
+@pytest.mark.parametrize("name", ["walk_edges", "station_changes", "within_distance", "nearest_stop", "knn_stops", "snap_to_line", "nearest_cities", "identities_by_name"])
+def test_many_stops_at_one_place(spark, tmp_path, name):
+    same(spark, tables(spark, tmp_path, {k + AGAIN * i: k % 3 for k in (0, 3, 4, 17, 57, 58, 101) for i in range(7)}), name)
+
+
+@pytest.mark.parametrize("name", ["walk_edges", "station_changes", "nearest_stop", "snap_to_line"])
+def test_pairs_do_not_multiply_where_places_repeat(spark, tmp_path, monkeypatch, name):
+    """Ten times the stops at the same places: no more pairs are measured."""
+    from quillon.operators import graph, joins, network
+
+    counts = []
+
+    def counted(f):
+        def run(*args, **more):
+            out = f(*args, **more)
+            counts[-1] += out.count()
+            return out
+
+        return run
+
+    monkeypatch.setattr(graph, "within", counted(joins.within))
+    monkeypatch.setattr(network, "near_segments", counted(network.near_segments))
+    monkeypatch.setattr(joins, "within", counted(joins.within))
+    for n in (30, 300):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        counts.append(0)
+        stops = {k + AGAIN * 30 * i: 1 for k in (3, 4, 17) for i in range(n)}
+        __spark_entry__.queries()[name](spark, tables(spark, folder, stops)).count()
+    assert counts[1] <= counts[0]
+
+
+@pytest.mark.parametrize("name", ["same_name_pairs", "named_nearby", "lines_at_points", "loose_ends"])
+def test_a_name_is_part_of_the_distance_joins_key(spark, name):
+    text = __spark_entry__.queries()[name](spark, BASE)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [row for row in text.splitlines() if "Join Inner" in row and "o_x" in row]
+    assert any("name" in row or "line" in row for row in joins)
