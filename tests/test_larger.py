@@ -103,3 +103,22 @@ def test_a_name_is_part_of_the_distance_joins_key(spark, name):
     text = __spark_entry__.queries()[name](spark, BASE)._jdf.queryExecution().optimizedPlan().toString()
     joins = [row for row in text.splitlines() if "Join Inner" in row and "o_x" in row]
     assert any("name" in row or "line" in row for row in joins)
+
+
+@pytest.mark.parametrize("name", ["hidden_pairs", "astray_lines"])
+def test_pieces_at_one_place_are_measured_once(spark, tmp_path, monkeypatch, name):
+    from quillon.operators import drawn
+
+    counts, near = [], drawn.near_segments
+
+    def counted(*args, **more):
+        out = near(*args, **more)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(drawn, "near_segments", counted)
+    for n in (30, 60):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        same(spark, tables(spark, folder, {k + AGAIN * i: 1 for k in range(3, 16) for i in range(n)} | {200: 1, 204: 1}), name)
+    assert counts[-1] <= counts[0]
