@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, give_back, materialize, release, text_of
@@ -313,8 +313,19 @@ def _links(sets: DataFrame, threshold: float) -> DataFrame:
     return found.where(F.col("depth") >= depth_reached(counts, threshold, shortest)).select("a", "b")
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the components of ``edges``: each node keeps the one to its least neighbour, to which its other smaller neighbours are tied.
+
+    Nodes linked to the same few pivots in many trees so come to have about one edge each, and ties between pivots are shared.
+    """
+    least = F.min("a").over(Window.partitionBy("b"))
+    ties = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct().select("a", "b", least.alias("m"))
+    return ties.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root): the least node of each connected component of edges (a, b). Labels spread along edges and jump along themselves."""
+    edges = thinned(thinned(edges))
     both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), label)
     held = roots = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), label)
     while True:

@@ -146,3 +146,12 @@ def test_keep_one_of_columns_with_clashing_names(spark):
     docs = made(spark, ["a b c d e f g", "a b c d e f g", "x", None]).selectExpr("*", "1 AS n_id", "2 AS n_row", "3 AS n_doc", "4 AS cid", "5 AS class_id")
     kept = neardup.keep_one(docs.union(docs))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def test_links_to_many_pivots_are_thinned(spark):
+    """300 classes, each linked to the same 16 pivots: about an edge for each class stays, and the components are the same."""
+    links = [(100 * g + p, 100 * g + c) for g in (0, 1000) for p in range(16) for c in range(16, 316)] + [(7, 999_999)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    thin = neardup.thinned(edges)
+    assert thin.count() <= 2 * (300 + 15) + 1
+    assert {(r.node, r.root) for r in neardup.components(edges).collect()} == {(x, 100_000 if x >= 100_000 and x != 999_999 else 0) for e in links for x in e}
