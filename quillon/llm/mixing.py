@@ -5,22 +5,22 @@ release time floor(j / w) and a deadline ceil((j + 1) / w), in exact whole-numbe
 block a slot, and at no prefix does a source deviate from its target by one block. When the first source runs out, a new phase begins
 with the targets of those that are left, until all documents are placed.
 
-The schedule is simulated on the driver over at most MAX_BLOCKS blocks and one more for each source: blocks hold BLOCK documents, and
-more only where the corpus would have more blocks than that. Ranks are exact without a hot task: rows are numbered within
-(source, hash bucket) and bucket offsets are added.
+Sources of one block, which can't be spaced, are pooled: the pool is a source of their weights together, and within it they follow one
+another in the order of u / w, with a fixed u from 0 to 1 for each. Those without a weight have a pool of their own.
+
+The same rule holds for any number of blocks and sources. The driver simulates the schedule and writes it a CHUNK of slots at a time, so it holds
+one entry for each source of two blocks or more; the pools are numbered by ranges. Ranks are exact without a hot task: rows are numbered
+within (source, hash bucket) and bucket offsets are added.
 
 Defined results: a null source is a source of its own; sources without a positive weight follow after all others, in proportion
 to their sizes; rows that repeat are placed once each; ties go by doc_id; an empty table gives no rows; other columns are
 kept by ``interleave`` and ignored by ``positions``.
-
-Beyond MAX_SOURCES sources, block j of a source of weight w goes to the virtual time (j + u) / w, with a fixed u from 0 to 1 for each
-source: all blocks in that order serve each source within one block of its weight in virtual time, and those left share alike when one
-runs out. That order is a written table, numbered by ranges and joined.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import materialize, maybe_broadcast
 
 BLOCK = 64
-MAX_BLOCKS = 1 << 19
-MAX_SOURCES = 256
+#: Names of the pools of sources of one block, with and without a weight; slots that the driver holds at once.
+POOL, LATE = "+", "-"
+CHUNK = 1 << 17
 #: Rows of a partition of the mixed table.
 PART_ROWS = 32_768
 #: Exponent of the default targets: a source's weight is its number of documents to this power.
@@ -95,62 +96,66 @@ def _ranked(keyed: DataFrame, counts: DataFrame, block: int) -> DataFrame:
     return ranked.withColumn("m_block", F.floor(F.col("m_rank") / F.lit(block)))
 
 
-def _many(counts: DataFrame, weights: dict[str, float] | None, block: int, seed: int) -> DataFrame:
-    """m_source, m_block, m_slot, m_before (rows in earlier slots), m_phase, m_share of all blocks, for any number of sources."""
+def _pooled(small: DataFrame, seed: int) -> DataFrame:
+    """m_pool, m_place (from 0 within its pool), m_source, m_size, m_w of the sources of one block (m_source, m_size, m_w, m_pool), by virtual time."""
+    u = (F.pmod(F.xxhash64("m_source", F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    at = ["m_v", "m_source"]
+    ranged = materialize(small.withColumn("m_v", u / F.col("m_w")).repartitionByRange("m_pool", *at).withColumn("m_range", F.spark_partition_id()), "pools")
+    sums = sorted((r["m_pool"], r["m_range"], r["count"]) for r in ranged.groupBy("m_pool", "m_range").count().collect())
+    before = [(p, r, sum(n for q, _, n in sums[:k] if q == p)) for k, (p, r, _) in enumerate(sums)]
+    offsets = F.broadcast(small.sparkSession.createDataFrame(before, "m_pool string, m_range int, m_offset long"))
+    place = F.col("m_offset") + F.row_number().over(Window.partitionBy("m_pool", "m_range").orderBy(*at)) - 1
+    return ranged.join(offsets, ["m_pool", "m_range"]).select("m_pool", place.alias("m_place"), "m_source", "m_size", "m_w")
+
+
+def _plan(counts: DataFrame, weights: dict[str, float] | None, block: int, seed: int) -> DataFrame:
+    """m_source, m_block, m_slot, m_before (rows in earlier slots), m_phase, m_share of all blocks."""
     spark = counts.sparkSession
-    own = counts.groupBy("m_source").agg(F.sum("m_n").alias("m_size")).withColumn("m_blocks", F.ceil(F.col("m_size") / block))
+    own = materialize(counts.groupBy("m_source").agg(F.sum("m_n").alias("m_size")), "sources")
+    small = own.where(F.col("m_size") <= block)
+    sizes = {r["m_source"]: r["m_size"] for r in own.where(F.col("m_size") > block).collect()}
     if weights is None:
-        own = own.withColumn("m_w", F.pow(F.col("m_size").cast("double"), F.lit(TEMPER)))
+        target = {s: float(n) ** TEMPER for s, n in sizes.items()}
+        small = small.withColumns({"m_w": F.pow(F.col("m_size").cast("double"), F.lit(TEMPER)), "m_pool": F.lit(POOL)})
+        equal = {r["m_size"]: r["count"] for r in small.groupBy("m_size").count().collect()}
+        target[POOL] = math.fsum(k * float(n) ** TEMPER for n, k in sorted(equal.items()))
     else:
-        given = spark.createDataFrame([("" if s is None else "=" + s, float(w)) for s, w in weights.items()], "m_source string, m_w double")
-        own = own.join(given, "m_source", "left")
-    late = ~F.coalesce(F.col("m_w") > 0, F.lit(False))
-    own = own.withColumns({"m_class": late.cast("int"), "m_w": F.when(late, F.col("m_blocks").cast("double")).otherwise(F.col("m_w"))})
-    blocks = own.withColumn("m_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m_blocks") - 1)))
-    u = (F.pmod(F.xxhash64("m_source", F.lit(seed)), F.lit(1 << 20)) + 0.5) / (1 << 20)
-    last = F.col("m_block") == F.col("m_blocks") - 1
-    blocks = blocks.withColumns({"m_v": (F.col("m_block") + u) / F.col("m_w"), "m_n": F.least(F.lit(block), F.col("m_size") - F.col("m_block") * block), "m_last": last.cast("long"), "m_gone": F.when(last, F.col("m_w")).otherwise(0.0)})
-    at = ["m_v", "m_source", "m_block"]
-    blocks = materialize(blocks.repartitionByRange("m_class", *at).withColumn("m_range", F.spark_partition_id()), "schedule")
-    sums = blocks.groupBy("m_class", "m_range").agg(F.count("*"), F.sum("m_n"), F.sum("m_last"), F.sum("m_gone")).collect()
-    sums = sorted(tuple(r) for r in sums)
-    before = [(c, r, *(sum(x[i] for x in sums[:k]) for i in (2, 3, 4)), float(sum(x[5] for x in sums[k + 1 :] if x[0] == c))) for k, (c, r, *_) in enumerate(sums)]
-    ranges = spark.createDataFrame(before, "m_class int, m_range int, o_slot long, o_before long, o_phase long, o_left double")
-    order = Window.partitionBy("m_class", "m_range").orderBy(*at)
-    past, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    found = blocks.join(F.broadcast(ranges), ["m_class", "m_range"]).withColumns({
-        "m_slot": F.col("o_slot") + F.row_number().over(order) - 1,
-        "m_before": F.col("o_before") + F.coalesce(F.sum("m_n").over(past), F.lit(0)),
-        "m_phase": F.col("o_phase") + F.coalesce(F.sum("m_last").over(past), F.lit(0)),
-        "m_share": F.col("m_w") / (F.col("o_left") + F.sum("m_gone").over(rest)),
-    })
-    return materialize(found.select("m_source", "m_block", "m_slot", "m_before", "m_phase", "m_share"), "slots")
-
-
-def _plan(counts: DataFrame, sizes: dict[str, int], weights: dict[str, float] | None, block: int) -> DataFrame:
-    """m_source, m_block, m_slot, m_before (rows in earlier slots), m_phase, m_share of all blocks, by simulation."""
-    target = {s: float(c) ** TEMPER for s, c in sizes.items()} if weights is None else {("" if s is None else "=" + s): w for s, w in weights.items()}
-    columns: list[list] = [[] for _ in range(6)]
-    before = 0
-    for slot, (s, j, phase, share) in enumerate(schedule({s: -(-c // block) for s, c in sizes.items()}, target)):
-        for column, value in zip(columns, (s, j, slot, before, phase, share), strict=True):
-            column.append(value)
-        before += min(block, sizes[s] - j * block)
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-    names = ["m_source", "m_block", "m_slot", "m_before", "m_phase", "m_share"]
-    return counts.sparkSession.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names))
+        target = {("" if s is None else "=" + s): float(w) for s, w in weights.items()}
+        small = small.join(spark.createDataFrame(list(target.items()), "m_source string, m_w double"), "m_source", "left")
+        listed = F.coalesce(F.col("m_w") > 0, F.lit(False))
+        small = small.withColumns({"m_pool": F.when(listed, POOL).otherwise(LATE), "m_w": F.when(listed, F.col("m_w")).otherwise(1.0)})
+        target[POOL] = math.fsum(sorted(r["m_w"] for r in small.where(listed).select("m_w").collect()))
+    blocks = {s: -(-n // block) for s, n in sizes.items()} | {r["m_pool"]: r["count"] for r in small.groupBy("m_pool").count().collect()}
+    kinds = "m_source string, m_block long, m_slot long, m_phase long, m_share double, m_n long"
+    slots = None
+    for part in itertools.batched(enumerate(schedule(blocks, target)), CHUNK):
+        rows = [(s, j, slot, phase, share, min(block, sizes[s] - j * block) if s in sizes else None) for slot, (s, j, phase, share) in part]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 3, pa.float64(), pa.int64()), strict=True)]
+        new = materialize(spark.createDataFrame(pa.table(columns, names=[k.split()[0] for k in kinds.split(", ")])), "slots")
+        slots = new if slots is None else slots.unionByName(new)
+    slots = slots if slots is not None else spark.createDataFrame([], kinds)
+    if blocks.keys() & {POOL, LATE}:
+        weight = F.when(F.col("m_pool") == POOL, float(target[POOL])).otherwise(float(blocks.get(LATE, 1)))
+        pools = _pooled(small, seed).select(F.col("m_pool").alias("m_key"), F.col("m_place").alias("m_block"), F.col("m_source").alias("o_source"), F.col("m_size").alias("o_n"), (F.col("m_w") / weight).alias("o_share"))
+        slots = slots.withColumnRenamed("m_source", "m_key").join(pools, ["m_key", "m_block"], "left")
+        mine = F.col("o_source").isNotNull()
+        slots = slots.select(F.coalesce("o_source", "m_key").alias("m_source"), F.when(mine, F.lit(0)).otherwise(F.col("m_block")).cast("long").alias("m_block"), "m_slot", "m_phase", F.when(mine, F.col("m_share") * F.col("o_share")).otherwise(F.col("m_share")).alias("m_share"), F.coalesce("o_n", "m_n").alias("m_n"))
+    slots = materialize(slots.withColumn("m_run", F.floor(F.col("m_slot") / CHUNK)), "numbered")
+    done = sorted((r["m_run"], r["n"]) for r in slots.groupBy("m_run").agg(F.sum("m_n").alias("n")).collect())
+    runs = spark.createDataFrame([(r, t - n) for (r, n), t in zip(done, itertools.accumulate(n for _, n in done), strict=True)], "m_run long, m_start long")
+    past = Window.partitionBy("m_run").orderBy("m_slot").rowsBetween(Window.unboundedPreceding, -1)
+    found = slots.join(F.broadcast(runs), "m_run").withColumn("m_before", F.col("m_start") + F.coalesce(F.sum("m_n").over(past), F.lit(0)))
+    return materialize(found.select("m_source", "m_block", "m_slot", "m_before", "m_phase", "m_share"), "plan")
 
 
 def _placed(docs: DataFrame, weights: dict[str, float] | None, block: int, seed: int) -> DataFrame:
     """The rows of ``docs`` with m_block, m_slot, m_phase, m_share and m_position."""
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     n = docs.count()
-    block = max(block, -(-n // MAX_BLOCKS))
     buckets = 1 << max(4, min(13, (n // 512).bit_length()))
     keyed = docs.withColumns({"m_source": _source(), "m_key": key, "m_bucket": F.pmod(key, F.lit(buckets))})
     counts = materialize(keyed.groupBy("m_source", "m_bucket").agg(F.count("*").alias("m_n")), "counts")
-    sizes = {r["m_source"]: r["n"] for r in counts.groupBy("m_source").agg(F.sum("m_n").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    plan = _many(counts, weights, block, seed) if len(sizes) > MAX_SOURCES else materialize(_plan(counts, sizes, weights, block), "plan")
+    plan = _plan(counts, weights, block, seed)
     placed = _ranked(keyed, counts, block).join(maybe_broadcast(plan, 96), ["m_source", "m_block"])
     return placed.withColumn("m_position", F.col("m_before") + F.col("m_rank") % block)
 

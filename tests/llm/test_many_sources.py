@@ -1,5 +1,7 @@
 """Mixing of more sources than one plan is simulated for."""
 
+from collections import Counter
+
 import pytest
 
 from quillon.llm import mixing
@@ -24,3 +26,29 @@ def test_many_sources(spark, weights):
     else:
         given = sum(names.count(s) for s in weights)
         assert {r.source for r in rows[:given]} == set(weights) and not {r.source for r in rows[given:]} & set(weights)
+
+
+def test_many_small_sources_leave_the_others_their_share(spark):
+    """300 sources of one block beside three large ones: slots of the large ones and of the pool are within a block of their target."""
+    names = ["a"] * 400 + ["b"] * 240 + ["c"] * 200 + [f"h{i}" for i in range(300)]
+    rows = mixing.positions(spark.createDataFrame(list(enumerate(names)), "doc_id long, source string"), block=4).collect()
+    served = {r.slot: (r.source, r.phase, r.share) for r in rows}
+    first = [served[t] for t in sorted(served) if served[t][1] == 0]
+    own = {s: n**mixing.TEMPER for s, n in Counter(names).items()}
+    total, seen = sum(own.values()), Counter()
+    for k, (s, _, share) in enumerate(first, 1):
+        assert share == pytest.approx(own[s] / total)
+        seen[s[0]] += 1
+        assert all(abs(seen[x] - k * sum(w for y, w in own.items() if y[0] == x) / total) < 1 for x in "abch")
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 17])
+def test_blocks_keep_their_size(spark, monkeypatch, chunk):
+    """However many blocks there are, and however many slots are written at a time."""
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 4, raising=False)
+    monkeypatch.setattr(mixing, "CHUNK", chunk, raising=False)
+    docs = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(200)] + [(200, None), (201, "c")], "doc_id long, source string")
+    rows = sorted(mixing.positions(docs, block=8).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(202))
+    assert [r.slot for r in rows] == sorted(r.slot for r in rows)
+    assert max(Counter((r.source, r.block) for r in rows).values()) == 8
