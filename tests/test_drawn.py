@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 
+from quillon.functions import geo
 from quillon.operators import conform, drawn, joins, lines
 from quillon.streaming import windows
 
@@ -145,3 +146,25 @@ def test_own_script(spark):
     ]
     df = spark.createDataFrame([(x,) for x, _ in names], "x string")
     assert [r[0] for r in df.select(conform.own_script(conform.F.col("x"))).collect()] == [v for _, v in names]
+
+
+def _calls(monkeypatch):
+    """No query may call Python once for each line: groups of pandas are counted as an error."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+
+    def no(*_args, **_kw):
+        raise AssertionError("a call for each line")
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", no)
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", no)
+
+
+def test_lines_are_simplified_in_batches(spark, monkeypatch):
+    rows = [(k, s, 100 + 0.1 * s, 20 + 0.3 * (s == k % 4)) for k in range(40) for s in range(1 + k % 6)] + [(None, 0, 1.0, 2.0), (None, 1, 1.0, 2.0)]
+    points = spark.createDataFrame(rows, "line long, seq long, lon double, lat double")
+    want = []
+    for line in {r[0] for r in rows}:
+        own = sorted(r for r in rows if r[0] == line)
+        want += [own[i] for i in geo.simplified([r[2:] for r in own], 20_000.0)]
+    _calls(monkeypatch)
+    assert sorted(map(str, map(tuple, lines.simplify(points, 20_000.0).collect()))) == sorted(map(str, want))
