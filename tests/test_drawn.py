@@ -168,3 +168,19 @@ def test_lines_are_simplified_in_batches(spark, monkeypatch):
         want += [own[i] for i in geo.simplified([r[2:] for r in own], 20_000.0)]
     _calls(monkeypatch)
     assert sorted(map(str, map(tuple, lines.simplify(points, 20_000.0).collect()))) == sorted(map(str, want))
+
+
+def test_stops_are_projected_in_batches(spark, monkeypatch):
+    rows = [(k, s, 100 + 0.1 * s * (-1) ** k, 20 + 0.01 * (k % 3)) for k in range(30) for s in range(4)]
+    stops = spark.createDataFrame(rows + [(99, 0, 1.0, 1.0), (None, 0, 100.0, 20.0)], "line long, seq long, lon double, lat double")
+    paths = spark.createDataFrame([(k, s, 100 + 0.35 * s * (-1) ** (k // 2), 20.0) for k in range(30) for s in range(2)] + [(None, 0, 100.0, 20.0), (None, 1, 101.0, 20.0)], "line long, seq long, lon double, lat double")
+    want = []
+    for line in [*range(30), 99, None]:
+        own = [r for r in rows if r[0] == line] or ([(99, 0, 1.0, 1.0)] if line == 99 else [(None, 0, 100.0, 20.0)])
+        way = [(100 + 0.35 * s * (-1) ** (line // 2), 20.0) for s in range(2)] if line is not None and line < 30 else [] if line == 99 else [(100.0, 20.0), (101.0, 20.0)]
+        found, reason = lines.project_stops([r[2:] for r in own], way, 1500.0)
+        if reason == lines.NO_ORDER:
+            found, reason = lines.project_stops([r[2:] for r in own], way[::-1], 1500.0)
+        want += [(line, r[1], *f, None) for r, f in zip(own, found, strict=True)] if found else [(line, None, None, None, reason)]
+    _calls(monkeypatch)
+    assert sorted(map(str, map(tuple, lines.station_projection(stops, paths).collect()))) == sorted(map(str, want))
