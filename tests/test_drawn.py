@@ -184,3 +184,36 @@ def test_stops_are_projected_in_batches(spark, monkeypatch):
         want += [(line, r[1], *f, None) for r, f in zip(own, found, strict=True)] if found else [(line, None, None, None, reason)]
     _calls(monkeypatch)
     assert sorted(map(str, map(tuple, lines.station_projection(stops, paths).collect()))) == sorted(map(str, want))
+
+
+def test_many_parts_are_stitched_quickly():
+    """A chain of 6,000 pieces beside 6,000 that all begin at one place: looking at all pairs would take hours."""
+    chain = [[(100 + 1e-3 * i, 20.0), (100 + 1e-3 * (i + 1), 20.0)] for i in range(6_000)]
+    star = [[(50.0, 20.0), (50.0, 21.0 + 1e-2 * i)] for i in range(6_000)]
+    out = lines.stitch(chain + star, 5.0)
+    assert [len(p) for p in out] == [6_001] + [3] * 3_000
+    assert out[0] == [p[0] for p in chain] + [chain[-1][1]]
+    assert out[1] == [star[0][1], (50.0, 20.0), star[1][1]]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_stitching_equals_the_plain_loop(seed):
+    rng = random.Random(seed)
+
+    def plain(parts, reach):
+        far = lambda a, b: math.hypot((a[0] - b[0]) * lines.M * math.cos(math.radians(a[1])), (a[1] - b[1]) * lines.M)
+        parts = [list(p) for p in parts if len(p) > 1]
+        while True:
+            ways = [(far(parts[i][a], parts[j][b]), i, j, -a, -b) for i in range(len(parts)) for j in range(i + 1, len(parts)) for a in (0, -1) for b in (0, -1)]
+            d, i, j, a, b = min(ways, default=(math.inf, 0, 0, 0, 0))
+            if d > reach:
+                return [p + [p[0]] if len(p) > 3 and p[0] != p[-1] and far(p[0], p[-1]) <= reach else p for p in parts]
+            x, y = parts[i][:: 1 if a else -1], parts[j][:: -1 if b else 1]
+            parts[i] = x + (y[1:] if x[-1] == y[0] else y)
+            del parts[j]
+
+    for _ in range(60):
+        g, lat = rng.choice([3, 6]), rng.choice([0, 20, -60])
+        parts = [[(100 + rng.randrange(g) * 0.05, lat + rng.randrange(g) * 0.05) for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(0, 10))]
+        reach = rng.choice([0.0, 3_000.0, 6_000.0])
+        assert lines.stitch(parts, reach) == plain(parts, reach)
