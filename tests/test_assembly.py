@@ -211,3 +211,18 @@ def test_riding_rules():
     assert assembly.ride(along, gap, 500, 1, 0.5)[:4] == [None] * 4  # the first stretch alone is too short
     assert assembly.ride(along, [[c(1, "a", i, i < 3)] for i in range(12)], 500, 2, 0.5) == [None] * 12
     assert assembly.ride([], [], 500, 2, 0.5) == []
+
+
+def test_chains_in_one_task_need_no_rounds(spark, monkeypatch):
+    """Chains and a ring whose edges lie together: only what tasks leave apart goes through rounds, and the components are the same."""
+    from quillon.operators import graph
+
+    edges = [(100 * c + i, 100 * c + i + 1) for c in range(40) for i in range(20)] + [(100 * c, 100 * c + 20) for c in range(0, 40, 2)] + [(5000, 4999), (7, 7)]
+    rows = spark.createDataFrame(edges, "u long, v long").coalesce(1)
+    want = {(x, x // 100 * 100 if x < 4900 else 4999) for e in edges for x in e}
+    seen = []
+    whole = graph.components
+    monkeypatch.setattr(graph, "components", lambda ties: seen.append(ties.count()) or whole(ties))
+    assert {(r.node, r.component) for r in graph.components_nearby(rows).collect()} == want
+    assert seen == [0]
+    assert {(r.node, r.component) for r in graph.components_nearby(rows.repartition(7)).collect()} == want
