@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from quillon.operators import assembly, gaps
+from quillon.operators import assembly, gaps, network
 
 M = 111_320.0
 PIECES = "line string, piece int, seq int, lon double, lat double"
@@ -226,3 +226,12 @@ def test_chains_in_one_task_need_no_rounds(spark, monkeypatch):
     assert {(r.node, r.component) for r in graph.components_nearby(rows).collect()} == want
     assert seen == [0]
     assert {(r.node, r.component) for r in graph.components_nearby(rows.repartition(7)).collect()} == want
+
+
+def test_cells_of_any_size_find_the_same_segments(spark):
+    rng = random.Random(3)
+    spot = lambda: (100 + rng.random(), 30 + rng.random())
+    points = spark.createDataFrame([(i, *spot()) for i in range(60)], "id long, lon double, lat double")
+    segments = spark.createDataFrame([(i, *spot(), *spot()) for i in range(30)], "seg long, a_lon double, a_lat double, b_lon double, b_lat double")
+    found = [sorted((r.id, r.seg, r.metres) for r in network.near_segments(points, segments, 5_000.0, size=size).collect()) for size in (None, 5_000.0, 2_000.0)]
+    assert len(found[0]) > 50 and found[0] == found[1] == found[2]
