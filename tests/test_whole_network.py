@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+from quillon.operators import graph
 from quillon.operators import network as operators
 from quillon.plans import catalog, network  # noqa: F401  network adds its queries to the catalogue
 
@@ -105,3 +106,11 @@ def test_adoption_to_the_end(spark, tmp_path):
     saved(spark, tmp_path, {1: [3, 1, 2, 4, 5, 7, 8]})
     got = {r.node: (r.label, r.round) for r in catalog.queries()["adopt_unlabelled"](spark, str(tmp_path)).collect()}
     assert got == {node: ("L3", k) for k, node in enumerate([3, 1, 2, 4, 5, 7, 8])}
+
+
+def test_contraction_works_out_its_edges_once(spark, monkeypatch):
+    seen, degrees = [], graph.degrees
+    monkeypatch.setattr(graph, "degrees", lambda edges: seen.append(edges) or degrees(edges))
+    edges = spark.createDataFrame([(1, 2, 10), (2, 3, 10), (3, 4, 10), (3, 5, 10)], "u long, v long, metres long")
+    assert sorted(map(tuple, graph.contract(edges).collect())) == [(1, 3, 20, 2), (3, 4, 10, 1), (3, 5, 10, 1)]
+    assert seen and all("quillon-cut-" in f for f in seen[0].inputFiles()) and seen[0].inputFiles()
