@@ -146,3 +146,22 @@ def test_walks_without_copies_stay_whole(spark):
             x, y = x + rng.uniform(50, 120), y + rng.uniform(-60, 60)
     out = loops.one_copy(spark.createDataFrame(rows, "line int, seq int, lon double, lat double"), step=5.0).collect()
     assert sorted((r.line, r.part, r.low) for r in out) == [(line, 1, 0.0) for line in range(4)]
+
+
+def test_lines_without_close_samples_are_not_measured(spark, monkeypatch):
+    """Samples farther apart than a stretch may have gaps: no line is measured against itself; with one that has closer ones, that line is, and gives the same."""
+    counts, near = [], loops.near_segments
+
+    def counted(*args, **more):
+        out = near(*args, **more)
+        counts.append(args[0].select("line").distinct().count())
+        return out
+
+    monkeypatch.setattr(loops, "near_segments", counted)
+    far = [(1, i, *p) for i, p in enumerate(east((0, 0), (9000, 0), (9000, 40), (0, 40)))]
+    close = [(2, i, *p) for i, p in enumerate(east(*[(120 * k, 0) for k in range(60)], *[(120 * k, 40) for k in range(59, -1, -1)]))]
+    kept = lambda rows: sorted(tuple(r) for r in loops.one_copy(spark.createDataFrame(rows, "line int, seq int, lon double, lat double"), 100.0, 2_000.0, 1_500.0, 3_000.0, 500.0).collect())
+    alone = kept(far)
+    assert [r[:2] for r in alone] == [(1, 1)] and counts == [0]
+    both = kept(far + close)
+    assert counts == [0, 1] and both[:1] == alone and max(r[3] for r in both if r[0] == 2) < 8_000
