@@ -165,3 +165,22 @@ def test_lines_without_close_samples_are_not_measured(spark, monkeypatch):
     assert [r[:2] for r in alone] == [(1, 1)] and counts == [0]
     both = kept(far + close)
     assert counts == [0, 1] and both[:1] == alone and max(r[3] for r in both if r[0] == 2) < 8_000
+
+
+def test_parts_that_a_task_holds_whole_are_settled_there(spark, monkeypatch):
+    """Chains and rings of neighbouring rows: only those cut by the bounds of partitions go through the rounds."""
+    sent, rounds = [], loops._bridges
+
+    def counted(edges):
+        sent.append(edges.count())
+        return rounds(edges)
+
+    monkeypatch.setattr(loops, "_bridges", counted)
+    rows = []
+    for part in range(300):
+        nodes = [10 * part + i for i in range(6)]
+        rows += [(100 * part + i, u, v) for i, (u, v) in enumerate(zip(nodes, nodes[1:], strict=False))] + [(100 * part + 9, nodes[5], nodes[0])] * (part % 2)
+    rows += [rows[0], rows[0]]
+    got = loops.bridges(spark.createDataFrame(rows, "edge long, u long, v long").coalesce(3)).collect()
+    assert {r.edge for r in got} == searched(dict.fromkeys(rows)) and len(got) == 150 * 5 and all(r.u < r.v for r in got)
+    assert sum(sent) <= 60
