@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.functions.geo import haversine
 from quillon.operators.assembly import sampled
 from quillon.operators.gaps import spanning_forest
-from quillon.operators.graph import components
+from quillon.operators.graph import _key, components
 from quillon.operators.joins import cut
 from quillon.operators.network import M, near_segments
 
@@ -41,7 +41,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first.setdefault(e, at)
         table = table.take(pa.array(list(first.values()), pa.int64())) if len(first) < table.num_rows else table
         names: dict = {}
-        nodes = lambda c: [names.setdefault(tuple(x.values()) if isinstance(x, dict) else x, len(names)) for x in table.column(c).to_pylist()]
+        nodes = lambda c: [names.setdefault(_key(x), len(names)) for x in table.column(c).to_pylist()]
         us, vs = nodes("u"), nodes("v")
         near: list[list[tuple[int, int]]] = [[] for _ in names]
         for e, (u, v) in enumerate(zip(us, vs, strict=True)):

@@ -235,3 +235,15 @@ def test_cells_of_any_size_find_the_same_segments(spark):
     segments = spark.createDataFrame([(i, *spot(), *spot()) for i in range(30)], "seg long, a_lon double, a_lat double, b_lon double, b_lat double")
     found = [sorted((r.id, r.seg, r.metres) for r in network.near_segments(points, segments, 5_000.0, size=size).collect()) for size in (None, 5_000.0, 2_000.0)]
     assert len(found[0]) > 50 and found[0] == found[1] == found[2]
+
+
+def test_nodes_of_structs_within_structs():
+    """Tips of pieces turned either way: nodes that Arrow gives as dicts in dicts are joined and searched like others."""
+    import pyarrow as pa
+
+    from quillon.operators import graph
+
+    node = lambda line, piece, s: {"n": {"line": line, "piece": piece}, "s": s}
+    batch = pa.RecordBatch.from_pylist([{"u": node("A", 2, 0), "v": node("A", 1, 1)}, {"u": node("A", 2, 0), "v": node("A", 3, 0)}, {"u": node("B", 1, 0), "v": node("B", 2, 0)}])
+    got = {(graph._key(r["node"]), graph._key(r["root"])) for b in graph._joined(iter([batch])) for r in b.to_pylist()}
+    assert got == {((("A", p), s), (("A", 1), 1)) for p, s in ((1, 1), (2, 0), (3, 0))} | {((("B", p), 0), (("B", 1), 0)) for p in (1, 2)}
