@@ -122,3 +122,8 @@ def test_pieces_at_one_place_are_measured_once(spark, tmp_path, monkeypatch, nam
         folder.mkdir()
         same(spark, tables(spark, folder, {k + AGAIN * i: 1 for k in range(3, 16) for i in range(n)} | {200: 1, 204: 1}), name)
     assert counts[-1] <= counts[0]
+
+
+def test_noded_legs_without_length(spark, tmp_path):
+    """Two stops in a row at one place: their leg is there, and cut into no edges."""
+    same(spark, tables(spark, tmp_path, dict.fromkeys([3, 40, 40 + AGAIN, 77 + AGAIN, 90 + AGAIN], 1) | {20: 2, 61: 2, 95: 2}), "noded_legs")
