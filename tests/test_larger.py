@@ -57,6 +57,14 @@ def test_station_links_of_own_stop(spark, tmp_path):
     same(spark, tables(spark, tmp_path, dict.fromkeys(stops, 1), [[a, b] for a in stops for b in stops if a != b]), "station_links")
 
 
+def test_station_links_to_track_of_other_stops(spark, tmp_path):
+    """Track within reach of a station counts whichever stop it was drawn for."""
+    folder = tables(spark, tmp_path, dict.fromkeys([3, 3 + 3 * AGAIN, 9], 1), [[]] * 20 + [[3, 9]])
+    same(spark, folder, "station_links")
+    got = {(r.station, r.way, r.node) for r in __spark_entry__.queries()["station_links"](spark, folder).collect()}
+    assert got == {(3, 20, 3020), (3 + 3 * AGAIN, 20, 3020), (9, 20, 9020)}
+
+
 def test_line_gaps_between_pieces_at_one_place(spark, tmp_path):
     same(spark, tables(spark, tmp_path, {4: 1, 4 + AGAIN: 1, 9: 1, 9 + AGAIN: 2}), "line_gaps")
 
