@@ -1,5 +1,6 @@
 """Queries against their SQL on small tables of shapes that only larger tables have: stops at one place, ways of many hops, many rows of a name."""
 
+import math
 import os
 
 import pytest
@@ -132,6 +133,18 @@ def test_pieces_at_one_place_are_measured_once(spark, tmp_path, monkeypatch, nam
     assert counts[-1] <= counts[0]
 
 
+def test_single_copies_of_lines_out_and_back(spark, tmp_path):
+    """Ten stops in a row and back beside them: about half of the line stays; with a detour too."""
+    folder = tables(spark, tmp_path, dict.fromkeys(range(1, 11), 1) | dict.fromkeys([20, 25, 31, 40], 2))
+    paths = {}
+    for line, stops in ((1, range(1, 11)), (2, [20, 25, 31, 40])):
+        at = [(100.0 + s % 97 * 0.05, 20.0 + s % 53 * 0.05) for s in stops]
+        paths[line] = sum(2 * 6371000.0 * math.asin(math.sqrt(math.sin(math.radians(d - b) / 2) ** 2 + math.cos(math.radians(b)) * math.cos(math.radians(d)) * math.sin(math.radians(c - a) / 2) ** 2)) for (a, b), (c, d) in zip(at, at[1:]))
+    got = {(r.line, r.part): (r.low, r.high) for r in __spark_entry__.queries()["single_copies"](spark, folder).collect()}
+    assert set(got) == {(1, 1), (2, 1)} and all(low == 0 for low, _ in got.values())
+    assert all(abs(got[line, 1][1] - metres) < 1_000 for line, metres in paths.items())
+
+
 def test_noded_legs_without_length(spark, tmp_path):
     """Two stops in a row at one place: their leg is there, and cut into no edges."""
     same(spark, tables(spark, tmp_path, dict.fromkeys([3, 40, 40 + AGAIN, 77 + AGAIN, 90 + AGAIN], 1) | {20: 2, 61: 2, 95: 2}), "noded_legs")
