@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import colour, grade, parse_speeds
 from quillon.operators.joins import cut, within
+from quillon.operators.network import M
 
 
 def filled(*values: Column) -> Column:
@@ -194,19 +197,40 @@ def named_nearby(points: DataFrame, names: DataFrame, metres: float) -> DataFram
     return points.join(best, "id", "left")
 
 
+def _lines_within(points: DataFrame, rows: DataFrame, metres: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """id, held: all lines that have a row (line, lon, lat) within reach of a point (id, lon, lat) and of its ``by``.
+
+    Small cells are compared first: two cells that lie within reach whatever places of theirs are taken share all lines, and two that can't be within reach share
+    none. Only lines that stay in doubt for a point are looked for row by row.
+    """
+    side = metres / M / 5
+    radius = M * side * math.sqrt(0.5) * 1.001  # M is more than a degree has
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    middle = lambda c: (F.col(c) + 0.5) * side
+    spot = lambda lon, lat: [middle("x").alias(lon), F.least(F.lit(90.0), F.greatest(F.lit(-90.0), middle("y"))).alias(lat)]
+    theirs = {c: f"r_{c}" for c in by}
+    rows = rows.select(*by, "line", "lon", "lat").distinct()
+    placed, key = points.withColumns({"x": cell("lon"), "y": cell("lat")}), [*by, "x", "y"]
+    lenders = rows.groupBy(*by, cell("lon").alias("x"), cell("lat").alias("y")).agg(F.collect_set("line").alias("lent"))
+    met = within(placed.select(*key).distinct().select(*key, *spot("lon", "lat")), lenders.select(*spot("r_lon", "r_lat"), "lent", *[F.col(c).alias(o) for c, o in theirs.items()]), metres + 2 * radius, by=theirs)
+    met = met.select(*key, F.explode("lent").alias("line"), (F.col("metres") <= metres - 2 * radius).alias("sure")).groupBy(*key, "line").agg(F.max("sure").alias("sure"))
+    met = met.groupBy(*key).agg(F.collect_set(F.when(F.col("sure"), F.col("line"))).alias("sure"), F.collect_set(F.when(~F.col("sure"), F.col("line"))).alias("doubt"))
+    every = cut(placed.join(cut(met), key).select("id", *by, "lon", "lat", "sure", "doubt"))
+    asked = every.select("id", *by, "lon", "lat", F.explode("doubt").alias("line"))
+    others = rows.select(F.col("line").alias("r_line"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), *[F.col(c).alias(o) for c, o in theirs.items()])
+    lent = within(asked, others, metres, by={**theirs, "line": "r_line"}).groupBy("id").agg(F.collect_set("line").alias("held"))
+    return every.select("id", F.col("sure").alias("held")).unionByName(lent).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
+
+
 def lines_at(points: DataFrame, stops: DataFrame, same_place: float, same_name: float) -> DataFrame:
     """id, lines (sorted): the lines whose stops (line, name, lon, lat) lie at a point (id, name, lon, lat), whatever they are called, or near
     it under its name; points of one name near each other share their lines."""
-    rows = stops.select("line", F.col("name").alias("r_name"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    # a line's stops of one name at one place are one, and so are a line's at one place for the points there
     own = points.select("id", "name", "lon", "lat")
-    here = within(own, cut(rows.select("line", "r_lon", "r_lat").distinct()), same_place).select("id", "line")
-    named = within(own, cut(rows.distinct()), same_name, by={"name": "r_name"}).select("id", "line")
-    here = cut(here.unionByName(named).distinct())
-    twins = points.select(F.col("id").alias("b"), F.col("name").alias("r_name"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    twins = within(points.select("id", "name", "lon", "lat"), twins, same_name, by={"name": "r_name"}).where("id <> b").select("id", "b")
-    lent = twins.join(here.withColumnRenamed("id", "b"), "b").select("id", "line")
-    found = here.unionByName(lent).groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    here = _lines_within(own, stops, same_place).unionByName(_lines_within(own, stops, same_name, ("name",)))
+    here = cut(here.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held")))
+    # what points of a name lend one another; their own lines are among these
+    lent = _lines_within(own, own.join(here, "id").select("name", "lon", "lat", F.explode("held").alias("line")), same_name, ("name",))
+    found = here.unionByName(lent).groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("lines"))
     return points.select("id").join(found, "id", "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
 
 

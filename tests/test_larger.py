@@ -148,3 +148,36 @@ def test_single_copies_of_lines_out_and_back(spark, tmp_path):
 def test_noded_legs_without_length(spark, tmp_path):
     """Two stops in a row at one place: their leg is there, and cut into no edges."""
     same(spark, tables(spark, tmp_path, dict.fromkeys([3, 40, 40 + AGAIN, 77 + AGAIN, 90 + AGAIN], 1) | {20: 2, 61: 2, 95: 2}), "noded_legs")
+
+
+def test_lines_at_points_do_not_pair_all_points_of_a_name(spark, monkeypatch):
+    """Against all pairs in plain Python; where points crowd together, no more pairs are measured for ten times the points."""
+    import random
+
+    from quillon.operators import conform, joins
+
+    rng, counts = random.Random(3), []
+
+    def counted(*args, **more):
+        out = joins.within(*args, **more)
+        counts[-1] += out.count()
+        return out
+
+    def far(p, q):
+        h = math.sin(math.radians(q[1] - p[1]) / 2) ** 2 + math.cos(math.radians(p[1])) * math.cos(math.radians(q[1])) * math.sin(math.radians(q[0] - p[0]) / 2) ** 2
+        return 2 * 6371000.0 * math.asin(math.sqrt(h))
+
+    def found(points, stops):
+        counts.append(0)
+        rows = conform.lines_at(spark.createDataFrame(points, "id long, name string, lon double, lat double"), spark.createDataFrame(stops, "line string, name string, lon double, lat double"), 8_000.0, 20_000.0).collect()
+        return {r.id: r.lines for r in rows}
+
+    monkeypatch.setattr(conform, "within", counted)
+    points = [(i, f"n{i % 2}", 179.6 + rng.random() * 0.4 if i % 3 else -180 + rng.random() * 0.3, 60 + rng.random() * 0.4) for i in range(60)]
+    stops = [(f"L{i}", f"n{i % 3}", 179.6 + rng.random() * 0.4, 60 + rng.random() * 0.4) for i in range(9)]
+    own = {p[0]: {s[0] for s in stops if far(p[2:], s[2:]) <= 8_000 or (p[1] == s[1] and far(p[2:], s[2:]) <= 20_000)} for p in points}
+    want = {p[0]: sorted(set().union(*(own[q[0]] for q in points if p[1] == q[1] and far(p[2:], q[2:]) <= 20_000))) for p in points}
+    assert found(points, stops) == want
+    for n in (30, 300):
+        assert found([(i, "n0", 100.001 + i * 1e-5, 20.001) for i in range(n)], [("L1", "n1", 100.02, 20.02)]) == {i: ["L1"] for i in range(n)}
+    assert counts[2] <= counts[1] < 30
